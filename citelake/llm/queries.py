@@ -11,8 +11,9 @@ from collections.abc import Callable
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from citelake.llm import piece_codec, secret_scan, token_count
+from citelake.llm import chunk_dedup, decontaminate, language_id, piece_codec, secret_scan, token_count, toxicity, vantage_ann
 from citelake.llm.common import empty_if_null, map_arrow, texts_of
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -59,10 +60,74 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), PIECES)
 
 
+#: The chain of the toxicity classifier: earlier categories help later ones.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's probabilities along the chain, and the decision."""
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"), CATEGORIES)
+    scored = toxicity.score(docs, chain, ["doc_id"])
+    return scored.withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's benchmark occurrences: the items found, the fewest edits, and the spans."""
+    found = decontaminate.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("spans") > 0).alias("contaminated"),
+        F.array_sort(F.array_distinct("spans.item_id")).alias("item_ids"),
+        F.array_min("spans.edits").alias("least_edits"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["item_id"], s["start"], s["end"], s["edits"])), ",").alias("spans"),
+    )
+
+
+def op8_vantage_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector, exactly (factor 1)."""
+    return vantage_ann.nearest(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"), k=20, factor=1.0)
+
+
+def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What content-defined chunking removes from each document, and a digest of what stays."""
+    out = chunk_dedup.dedup_chunks(table(spark, sf_dir, "documents"))
+    return out.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the documents outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language_id.train(docs, ~held)
+    found = language_id.identify(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
+    return found.withColumn("languages", F.array_join("languages", ","))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
     "op2_secret_scan": op2_secret_scan,
+    "op4_toxicity": op4_toxicity,
+    "op5_decontaminate": op5_decontaminate,
     "op7_token_count": op7_token_count,
+    "op8_vantage_ann": op8_vantage_ann,
+    "op9_chunk_dedup": op9_chunk_dedup,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_vantage_ann": """
+        WITH v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+}
