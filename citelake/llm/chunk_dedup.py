@@ -2,8 +2,10 @@
 
 A gear rolling hash over the UTF-8 bytes puts a cut wherever its low bits are zero, so cuts depend only on
 the bytes just before them: an insertion shifts positions but moves no other cut.  Chunks have at least
-``LEAST`` bytes and, by forced cuts, ``MOST`` at most.  A chunk whose digest occurs before (in a document
-with a smaller doc_id, or earlier in the same one) is removed; its first occurrence stays.
+``LEAST`` bytes and, by forced cuts, about ``MOST`` at most (a short rest joins the last chunk).  A chunk
+repeats when its digest occurs before, in a document with a smaller doc_id or earlier in the same one.
+Runs of repeating chunks are removed from ``LEAST_RUN`` bytes on, so that a few common words that happen to
+make a chunk stay; the first occurrence of a chunk always stays.
 
 The gear table is 32 bits wide, so the hash is a function of the last 32 bytes and can be computed for all
 positions at once.  Nulls in the text count as empty; rows with a null doc_id, or with the same doc_id, are
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from citelake.llm.common import empty_if_null, map_arrow, stage, texts_of
 
-LEAST, MOST, MASK_BITS = 24, 512, 6
+LEAST, MOST, MASK_BITS, LEAST_RUN = 24, 512, 5, 96
 DIGEST = np.dtype([("hi", "<i8"), ("lo", "<i4")])
 _GEAR = np.random.Generator(np.random.PCG64(20240607)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -54,7 +56,9 @@ def cuts(data: bytes) -> list[int]:
     while n - at > MOST:
         at += MOST
         out.append(at)
-    if at < n:
+    if out and n - at < LEAST:
+        out[-1] = n
+    elif at < n:
         out.append(n)
     return out
 
@@ -101,18 +105,21 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 def kept_bytes(data: bytes, gone: set[bytes]) -> tuple[bytes, int, int, int]:
     """What stays of a text, its chunks, removed bytes, and maximal removed runs; ``gone``: digests held elsewhere."""
     ends = cuts(data)
-    out, at, removed, spans, before = [], 0, 0, 0, False
     seen = set(gone)
+    runs: list[list[int]] = []  # start and end of runs of repeating chunks
+    at = 0
     for end, d in zip(ends, _digests(data, ends), strict=True):
-        repeats = d in seen
-        if repeats:
-            removed += end - at
-            spans += not before
-        else:
+        if d not in seen:
             seen.add(d)
-            out.append(data[at:end])
-        before, at = repeats, end
-    return b"".join(out), len(ends), removed, spans
+        elif runs and runs[-1][1] == at:
+            runs[-1][1] = end
+        else:
+            runs.append([at, end])
+        at = end
+    runs = [r for r in runs if r[1] - r[0] >= LEAST_RUN]
+    places = [0, *(x for r in runs for x in r), len(data)]
+    kept = b"".join(data[a:b] for a, b in zip(places[::2], places[1::2], strict=True))
+    return kept, len(ends), len(data) - len(kept), len(runs)
 
 
 def dedup_chunks(docs: DataFrame) -> DataFrame:
