@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelake.llm import chunk_dedup, decontaminate, language_id, piece_codec, secret_scan, token_count, toxicity, vantage_ann
+from citelake.llm import chunk_dedup, decontaminate, language_id, ngram_join, piece_codec, secret_scan, token_count, toxicity, vantage_ann
 from citelake.llm.common import empty_if_null, map_arrow, texts_of
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -60,6 +60,11 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle counts and components of documents with 80 percent of their 5-word shingles in common."""
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 #: The chain of the toxicity classifier: earlier categories help later ones.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
@@ -107,6 +112,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
     "op2_secret_scan": op2_secret_scan,
+    "op3_ngram_join": op3_ngram_join,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op7_token_count": op7_token_count,
