@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelake.llm import chunk_dedup, decontaminate, language_id, ngram_join, piece_codec, secret_scan, token_count, toxicity, vantage_ann
+from citelake.llm import chunk_dedup, decontaminate, language_id, ngram_join, piece_codec, secret_scan, suffix_dedup, token_count, toxicity, vantage_ann
 from citelake.llm.common import empty_if_null, map_arrow, texts_of
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -55,6 +55,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What 50-byte strings of earlier documents remove from each document, and a digest of what stays."""
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token count of each document."""
     return token_count.count_tokens(table(spark, sf_dir, "documents"), PIECES)
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_join": op3_ngram_join,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_count": op7_token_count,
     "op8_vantage_ann": op8_vantage_ann,
     "op9_chunk_dedup": op9_chunk_dedup,
