@@ -70,3 +70,10 @@ def empty_if_null(column: str = "text") -> Column:
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column of ``taken`` has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name

@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -271,3 +272,16 @@ def score(docs: DataFrame, chain: ToxicityChain, keep: list[str]) -> DataFrame:
     own = docs.select(*dict.fromkeys([*keep, "text"]))
     kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     return map_arrow(own, run, f"{kept}, " + ", ".join(f"p_{c} double" for c in chain.categories))
+
+
+def without(docs: DataFrame, chain: ToxicityChain, category: str, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose probability of ``category`` is below ``threshold``."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(chain), chain.categories.index(category)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                p = sent.value.probabilities(batch.column("text").to_pylist())
+                yield batch.filter(pa.array(p[:, at] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
