@@ -35,9 +35,9 @@ LENGTH = 50
 GRAM = 20
 SPAN = LENGTH - GRAM + 1  # places of a window's anchor
 HALF = (LENGTH - GRAM) // 2
-BATCH_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+BATCH_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 #: windows of a text that go through at once
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: windows sorted at once
 SORTED = 1 << 18
 KEY_BYTES = 5
@@ -182,16 +182,36 @@ def _answer_keys(rows: pa.Table) -> pa.Table:
 # --- 2: contexts of the shared anchors --------------------------------------------------------------
 
 
+_CHUNK = 1 << 19
+_WEIGHTS: list[np.ndarray] = []
+
+
+def _weights() -> list[np.ndarray]:
+    """Powers of the byte weight and of its inverse, for one chunk and a context beyond it."""
+    if not _WEIGHTS:
+        for base in (_P, pow(_P, -1, 1 << 64)):
+            steps = np.full(_CHUNK + 256, _U(base))
+            steps[0] = 1
+            _WEIGHTS.append(np.multiply.accumulate(steps))
+    return _WEIGHTS
+
+
 def _context_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range, from running sums of weighted bytes."""
-    n = len(data)
-    up, down = np.full(n + 1, _U(_P)), np.full(n + 1, _U(pow(_P, -1, 1 << 64)))
-    up[0] = down[0] = 1
-    np.multiply.accumulate(up, out=up)
-    np.multiply.accumulate(down, out=down)
-    sums = np.zeros(n + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * up[:n], out=sums[1:])
-    return _mix((sums[starts + sizes] - sums[starts]) * down[starts], 3)
+    """64-bit hash of each byte range, from running sums of weighted bytes, chunk by chunk."""
+    up, down = _weights()
+    out = np.zeros(len(starts), _U)
+    order = np.argsort(starts, kind="stable")
+    bounds = np.searchsorted(starts[order], np.arange(0, len(data) + _CHUNK, _CHUNK))
+    for k, (p, q) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        if p == q:
+            continue
+        mine, base = order[p:q], k * _CHUNK
+        part = data[base : base + _CHUNK + 255]
+        sums = np.zeros(len(part) + 1, _U)
+        np.cumsum((part.astype(_U) + _U(1)) * up[: len(part)], out=sums[1:])
+        at = starts[mine] - base
+        out[mine] = _mix((sums[at + sizes[mine]] - sums[at]) * down[at], 3)
+    return out
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
