@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citelake.plans import judging_queries, report_queries
+from citelake.plans import evaluation_queries, existence_queries, judging_queries, report_queries, stream_queries, text_queries
 
 FLAGSHIP = "judge_claims"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (judging_queries, report_queries):
+for _module in (judging_queries, report_queries, existence_queries, evaluation_queries, text_queries, stream_queries):
     QUERIES |= _module.R
     ORACLE_SQL |= _module.R.oracles
