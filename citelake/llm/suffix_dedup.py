@@ -146,6 +146,11 @@ def _taking_part(ids: list, texts: list[bytes]) -> list[bytes]:
     return [t if i is not None else b"" for i, t in zip(ids, texts, strict=True)]
 
 
+def _stretches(starts: np.ndarray, end: int) -> list[tuple[int, int]]:
+    """(start, end) of stretches that begin at ``starts`` and reach to the next one, the last one to ``end``."""
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), end], strict=True)) if len(starts) else []
+
+
 # --- 1: which anchors do several batches hold ------------------------------------------------------
 
 
@@ -155,7 +160,7 @@ def _send_keys(buckets: int):
         keys = np.unique(find_anchors(_taking_part(ids, texts)).key)
         bucket = _bucket_of(keys, buckets)  # ascending with the keys
         which, first = np.unique(bucket, return_index=True)
-        blobs = [_pack(_short(keys[a:b])) for a, b in zip(first, np.append(first[1:], len(keys)), strict=True)]
+        blobs = [_pack(_short(keys[a:b])) for a, b in _stretches(first, len(keys))]
         batch = rows.column("batch")[0].as_py()
         return pa.table(
             [pa.array(which, pa.int32()), pa.array([batch] * len(which), pa.int32()), pa.array(blobs, pa.binary())],
@@ -259,7 +264,7 @@ def _send_contexts(buckets: int):
         number = np.cumsum(fresh) - 1
         which, first = np.unique(bucket[pick], return_index=True)
         out = []
-        for k, p, q in zip(which, first, np.append(first[1:], len(pick)), strict=True):
+        for k, (p, q) in zip(which, _stretches(first, len(pick)), strict=True):
             part = np.arange(p, q)
             one = part[fresh[p:q]]
             rows_used, row_at = np.unique(a.row[pick[part]], return_inverse=True)
@@ -401,7 +406,7 @@ def _judge(rows: pa.Table) -> pa.Table:
     which, begin, end = which[order], begin[order], end[order]
     owners, at = np.unique(batch[which], return_index=True)
     out = []
-    for k, p, q in zip(owners, at, np.append(at[1:], len(which)), strict=True):
+    for k, (p, q) in zip(owners, _stretches(at, len(which)), strict=True):
         packed = np.stack([row[which[p:q]].astype(np.uint32), begin[p:q].astype(np.uint32), end[p:q].astype(np.uint32)])
         out.append({"batch": int(k), "spans": packed.tobytes()})
     return pa.Table.from_pylist(out, schema=pa.schema([("batch", pa.int32()), ("spans", pa.binary())]))
