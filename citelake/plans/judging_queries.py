@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citelake.audit import Audit
 from citelake.functions.text import STOP_WORDS, SUFFIXES, tokens
 from citelake.operators import judging
 from citelake.plans.inputs import Registry, table
@@ -161,3 +162,36 @@ def judge_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     abstract: Column = F.when(item % 2 == 1, F.repeat(F.lit("a"), 130)).otherwise("")
     rows = table(spark, sf_dir, "benchmark").withColumns({"context": F.lit(""), "co_cited": item % 3 + 1, "reference": F.lit("ref"), "title": F.lit("t")})
     return rows.select("item_id", judging.prompt(F.col("text"), abstract).alias("prompt"))
+
+
+@R.add(
+    """WITH s AS (SELECT l_orderkey AS key, l_linenumber AS n, round(l_discount * 10, 6) AS score FROM lineitem), b AS (SELECT key, max(score) AS m FROM s GROUP BY key)
+    SELECT b.key, CAST(min(n) AS INT) AS claim_no, round(m, 3) AS score, CASE WHEN round(m, 3) >= 0.52 THEN 'supported' WHEN round(m, 3) >= 0.34 THEN 'related' WHEN round(m, 3) >= 0.18 THEN 'weak' ELSE 'unverified' END AS verdict FROM b JOIN s ON s.key = b.key AND s.score = m GROUP BY b.key, m"""
+)
+def best_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("claim_no"), F.round(F.col("l_discount") * 10, 6).alias("score"))
+    return judging.best_claim(rows, ["key"])
+
+
+@R.add()
+def audit_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole audit over manuscripts made of parts: texts in, risk out (checked end to end in the unit tests)."""
+    return audit_of_parts(spark, sf_dir).risk.select("run_id", "level", F.array_join("headlines", "|").alias("headlines"))
+
+
+def audit_of_parts(spark: SparkSession, sf_dir: str) -> Audit:
+    """Manuscripts of ten numbered references each: the body cites them by number, sources hold the same words or others."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), "p_name", "p_brand", "p_size", F.expr("cast(floor(p_partkey / 10) as string)").alias("run_id"), (F.col("p_partkey") % 10 + 1).alias("n"))
+    sentence = F.concat(F.lit("It was shown at length that "), "p_name", F.lit(" improves the output of every plant in use ["), "n", F.lit("]."))
+    entry = F.concat(F.lit("["), "n", F.lit("] J. Smith and A. Doe. A study of "), "p_name", F.lit(" in plants. Journal of "), "p_brand", F.lit(", 12(3):1-20, "), F.lit(1990) + F.col("p_size") % 30, F.lit("."))
+    listed = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", c.alias("x")))), lambda y: y["x"]), "\n")
+    texts = part.groupBy("run_id").agg(listed(sentence).alias("body"), listed(entry).alias("refs"))
+    texts = texts.select("run_id", F.concat("body", F.lit("\nReferences\n"), "refs").alias("text"))
+    key = F.col("n").cast("string").alias("key")
+    replies = part.select("run_id", key, F.explode(F.array(F.lit("Crossref"), F.lit("OpenAlex"))).alias("index"), F.when(F.col("p") % 9 == 0, F.lit(None)).otherwise(200).cast("int").alias("status"), (F.col("p") % 7 > 0).alias("found"))
+    same = F.concat(F.lit("We show that "), "p_name", F.lit(" improves the output of every plant in use, at length and in all tests that were made."))
+    sources = part.select(
+        "run_id", key, F.when(F.col("p") % 7 == 0, "").otherwise(F.concat(F.lit("A study of "), "p_name", F.lit(" in plants"))).alias("title"),
+        F.when(F.col("p") % 5 == 0, "").otherwise(same).alias("abstract"), F.when(F.col("p") % 5 == 0, "").otherwise(same).alias("text"), F.lit("html").alias("kind"), (F.col("p") % 97 == 0).alias("retracted"),
+    )
+    return Audit(texts, replies, sources)

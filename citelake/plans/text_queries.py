@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from citelake.functions import similarity, text
-from citelake.operators import bibliography, layout, markers, retrieval
+from citelake.operators import bibliography, highlights, judging, layout, markers, retrieval
 from citelake.plans.inputs import Registry, derive, oracle, table
 
 R = Registry()
@@ -396,6 +396,80 @@ def shared_key_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bibliography.link_shared(orders.select("run_id", "key", label.alias("label")), entries).select("run_id", "label", "entry_no", "new_key")
 
 
+@R.add()
+def longest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest ascending run of numbers in each order's parts (a sequential fold: checked in the unit tests)."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("numbers"))
+
+    def run(frames):
+        for frame in frames:
+            found = [bibliography.ascending_run([int(x) for x in n]) for n in frame["numbers"]]
+            yield frame[["l_orderkey"]].assign(length=[len(f) for f in found])
+
+    return rows.mapInPandas(run, "l_orderkey long, length int")
+
+
+@R.add(
+    """WITH n AS (SELECT l_orderkey, l_partkey, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem)
+    SELECT l_orderkey, round(avg(CASE WHEN l_partkey > b THEN 1.0 ELSE 0.0 END), 4) AS ascending FROM n WHERE b IS NOT NULL GROUP BY l_orderkey"""
+)
+def ascending_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.lag("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("b", before).where("b is not null")
+    return rows.groupBy("l_orderkey").agg(F.round(F.avg((F.col("l_partkey") > F.col("b")).cast("double")), 4).alias("ascending"))
+
+
+# --- evidence ---------------------------------------------------------------------------------------
+
+_WORDS = "SELECT doc_id % 50 AS run_id, CAST(doc_id // 50 AS INT) AS page, unnest(string_split_regex(text, '\\s+')) AS text, generate_subscripts(string_split_regex(text, '\\s+'), 1) AS word_no FROM documents"
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select((F.col("doc_id") % 50).alias("run_id"), F.floor(F.col("doc_id") / 50).cast("int").alias("page"), F.posexplode(F.split("text", r"\s+")).alias("word_no", "text"))
+
+
+@R.add(
+    f"""WITH t AS (SELECT run_id, page, word_no, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS token FROM ({_WORDS}) WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id % 50 = run_id AND d.doc_id // 50 = page AND regexp_matches(d.text, '-(\\s|$)')))
+    SELECT run_id, page, CAST(row_number() OVER (PARTITION BY run_id, page ORDER BY word_no) AS INT) AS place, token FROM t WHERE token <> ''"""
+)
+def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of pages without words broken at a hyphen (joining those is checked in the unit tests)."""
+    words = _words(spark, sf_dir)
+    broken = words.where(F.col("text").endswith("-")).select("run_id", "page").distinct()
+    return highlights.word_tokens(words.join(broken, ["run_id", "page"], "left_anti"), ["run_id"])
+
+
+@R.add()
+def highlight_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.lit("").alias("claim"), F.array("text").alias("passages"))
+    return highlights.candidate_rows(rows, ["item_id"])
+
+
+@R.add()
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the benchmark items' openings stand among the pages of each run (checked against plain search in the unit tests)."""
+    tokens = highlights.word_tokens(_words(spark, sf_dir), ["run_id"])
+    runs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("run_id")).distinct()
+    phrases = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("candidate_no"), F.substring_index("text", " ", 8).alias("text"))
+    return highlights.find_phrases(runs.join(F.broadcast(phrases)), tokens, ["run_id"])
+
+
+@R.add(
+    """WITH p AS (SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_partkey % 5 = 0 THEN -1 ELSE l_partkey END AS o, round(l_discount * 10, 3) AS s, CASE WHEN l_suppkey % 2 = 0 THEN repeat('x', 130) ELSE 'short ' END || (l_partkey % 3) AS t FROM lineitem),
+    q AS (SELECT *, row_number() OVER (PARTITION BY k, t ORDER BY s DESC, n, o) AS copy FROM p WHERE o >= 0 AND s > 0)
+    SELECT k AS key, t AS text, CAST(row_number() OVER (PARTITION BY k ORDER BY length(t) < 120, s DESC, n, o) AS INT) AS place FROM q WHERE copy = 1"""
+)
+def highlight_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = F.when(F.col("l_suppkey") % 2 == 0, F.repeat(F.lit("x"), 130)).otherwise("short ")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("key"), F.when(F.col("l_partkey") % 5 == 0, -1).otherwise(F.col("l_partkey")).alias("offset"),
+        F.round(F.col("l_discount") * 10, 3).alias("score"), F.concat(long, F.col("l_partkey") % 3).alias("text"), "l_linenumber",
+    )
+    rows = rows.withColumn("passage_no", F.struct("l_linenumber", "offset"))
+    return judging.highlight_order(rows, ["key"]).select("key", "text", "place")
+
+
 # --- retrieval --------------------------------------------------------------------------------------
 
 _ANY_BOT = " OR ".join(f"contains(head, '{p}')" for p in retrieval.BOT)
