@@ -46,6 +46,8 @@ def decode(name: str, data: bytes) -> str:
     if not name.lower().endswith((".txt", ".text", ".md")) or data[:5] == b"%PDF-":
         raise ValueError(f"{name}: a page table is needed for PDF, otherwise only .txt, .text and .md are read")
     for encoding in DECODINGS:
+        if encoding == "utf-16" and data[:2] not in (b"\xff\xfe", b"\xfe\xff"):
+            continue  # without its mark almost any bytes pass for it
         try:
             text = data.decode(encoding)
             break
