@@ -24,11 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    What the plan shuffled is no longer needed then, and its files are given free.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/citelake-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    del df
+    free_shuffles(spark)
     return spark.read.schema(schema).parquet(path)
 
 
