@@ -8,9 +8,10 @@ under any global order of tokens share one; so
    classes; within a list, every class is paired with the list's first one only;
 2. pairs must also share first tokens under further orders (other hashes) - the filters are intersected;
 3. what is left is verified on the whole sets, and linked classes are joined to components;
-4. lists that still hold more than one component have all their pairs across components tested (steps 2, 3),
-   with the positions in the index's order bounding the overlap.  Pairs inside a component need no test, so
-   no group of copies is ever expanded into its pairs, and no link between components is lost.
+4. lists that still hold more than one component are tested completely across components, with the positions
+   in the index's order bounding the overlap: short lists (``SHORT_LIST``) by pairs (steps 2, 3), longer ones
+   in blocks of ``LIST_BLOCK`` classes, each a task that counts all overlaps at once and gives back only links
+   that join components.  So no group of copies is expanded into its pairs, and no component is lost.
 
 How rare a shingle is only shapes the order, which any fixed numbers do correctly: every batch reports the
 shingles that occur in at least ``OFTEN`` of its different sets, the reports are summed over all documents,
@@ -40,6 +41,7 @@ WORDS = 5
 PERCENT = 80
 OFTEN = 3
 MOST_LEVELS = 200_000
+SHORT_LIST, LIST_BLOCK = 24, 4096
 #: text bytes hashed at once
 BLOCK = 2 << 20
 
@@ -215,30 +217,19 @@ def index_rows(docs: DataFrame, levels: Broadcast, words: int, percent: int) ->
     return map_arrow(rows, run, "token long, cls long, n int, pos int")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
-    """(cls, first2, first3, tokens) of the classes in ``wanted`` (cls, doc_id), as packed numbers."""
+def class_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(cls, tokens) of the classes in ``wanted`` (cls, doc_id), the tokens as packed sorted numbers."""
     rows = wanted.join(docs.select("doc_id", empty_if_null()).where("doc_id is not null"), "doc_id")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list[bytes]] = [[], [], []]
-        for s in shingle_sets(batch.column("text").to_pylist(), words):
-            for col, salt in zip(cols, (2, 3), strict=False):
-                col.append(np.sort(prefix(s, mix(s, salt), percent)).tobytes())
-            cols[2].append(s.tobytes())
+        # a doc_id may come in several rows with different texts; the class's own text gives the class's digest
+        sets = shingle_sets(batch.column("text").to_pylist(), words)
+        kept = [(c, s.tobytes()) for c, s in zip(batch.column("cls").to_pylist(), sets, strict=True) if set_digest(s) == c]
         return pa.RecordBatch.from_arrays(
-            [batch.column("cls"), *(pa.array(c, pa.binary()) for c in cols)], names=["cls", "first2", "first3", "tokens"]
+            [pa.array([c for c, _ in kept], pa.int64()), pa.array([t for _, t in kept], pa.binary())], names=["cls", "tokens"]
         )
 
-    # a doc_id may come in several rows with different texts; the class's own text gives the class's digest
-    out = map_arrow(rows.select("cls", "text"), lambda b: _own(run(b)), "cls long, first2 binary, first3 binary, tokens binary")
-    return out.dropDuplicates(["cls"])
-
-
-def _own(batch: pa.RecordBatch) -> pa.RecordBatch:
-    tokens = batch.column("tokens").to_pylist()
-    return batch.filter(
-        pa.array([set_digest(np.frombuffer(t, _U)) == c for t, c in zip(tokens, batch.column("cls").to_pylist(), strict=True)])
-    )
+    return map_arrow(rows.select("cls", "text"), run, "cls long, tokens binary")
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -248,36 +239,36 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes that pass the filters of the further orders and reach the similarity."""
+#: Salts of the further orders that a pair must share first tokens under.
+FURTHER_ORDERS = (2, 3)
+
 
-    def side(name: str, columns: list[str]) -> DataFrame:
-        return sets.select(F.col("cls").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+def passes_filters(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """First tokens in common under each of the further orders: what no similar pair can fail."""
+    return all(_shared(*(np.sort(prefix(s, mix(s, salt), percent)) for s in (a, b))) > 0 for salt in FURTHER_ORDERS)
 
-    def meet(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ok = []
-        cols = [batch.column(f"{c}_{s}").to_pylist() for c in ("first2", "first3") for s in "uv"]
-        for a2, b2, a3, b3 in zip(*cols, strict=True):
-            ok.append(
-                _shared(np.frombuffer(a2, _U), np.frombuffer(b2, _U)) > 0 and _shared(np.frombuffer(a3, _U), np.frombuffer(b3, _U)) > 0
-            )
-        return batch.select(["u", "v"]).filter(pa.array(ok))
 
-    def reach(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ok = []
-        for a, b in zip(batch.column("tokens_u").to_pylist(), batch.column("tokens_v").to_pylist(), strict=True):
-            common = _shared(np.frombuffer(a, _U), np.frombuffer(b, _U))
-            ok.append(100 * common >= percent * ((len(a) + len(b)) // 8 - common))
-        return batch.select(["u", "v"]).filter(pa.array(ok))
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = _shared(a, b)
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
-    few = ["first2", "first3"]
-    met = map_arrow(pairs.join(side("u", few), "u").join(side("v", few), "v"), meet, "u long, v long")
-    return map_arrow(met.join(side("u", ["tokens"]), "u").join(side("v", ["tokens"]), "v"), reach, "u long, v long")
 
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes that pass the filters of the further orders and reach the similarity."""
+    u, v = (sets.select(F.col("cls").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "uv")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        both = zip(batch.column("tokens_u").to_pylist(), batch.column("tokens_v").to_pylist(), strict=True)
+        sides = ((np.frombuffer(a, _U), np.frombuffer(b, _U)) for a, b in both)
+        return batch.select(["u", "v"]).filter(pa.array([passes_filters(a, b, percent) and similar(a, b, percent) for a, b in sides]))
 
-def _able(n: Column, m: Column, percent: int) -> Column:
-    """Set sizes that allow the similarity."""
-    return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
+    return map_arrow(pairs.join(u, "u").join(v, "v"), run, "u long, v long")
+
+
+def _able(n: Column, m: Column, n_pos: Column, m_pos: Column, percent: int) -> Column:
+    """Sizes that allow the similarity, if no token before this one is shared: what comes after it bounds the overlap."""
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return sizes & (F.least(n - n_pos, m - m_pos) * (100 + percent) >= percent * (n + m))
 
 
 def linked_classes(docs: DataFrame, first: DataFrame, levels: Levels, words: int, percent: int) -> DataFrame:
@@ -285,35 +276,96 @@ def linked_classes(docs: DataFrame, first: DataFrame, levels: Levels, words: int
     spark = docs.sparkSession
     index = index_rows(docs, spark.sparkContext.broadcast(levels), words, percent)
     whole = W.partitionBy("token")
-    index = index.withColumn("head", F.min(F.struct("cls", "n")).over(whole)).withColumn("last", F.max("cls").over(whole))
-    lists = stage(
-        index.where(F.col("head.cls") < F.col("last"))
-        .select("token", "cls", "n", "pos", F.col("head.cls").alias("head"), F.col("head.n").alias("head_n"))
-        .distinct()
-    )
-    sets = stage(class_sets(docs, lists.select("cls").distinct().join(first, "cls"), words, percent))
+    index = index.withColumn("head", F.min(F.struct("cls", "n", "pos")).over(whole)).withColumn("last", F.max("cls").over(whole))
+    lists = stage(index.where(F.col("head.cls") < F.col("last")).select("token", "cls", "n", "pos", "head").distinct())
 
-    stars = lists.where((F.col("cls") != F.col("head")) & _able(F.col("n"), F.col("head_n"), percent))
-    stars = stage(stars.select(F.col("head").alias("u"), F.col("cls").alias("v")).distinct())
+    able = _able(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos"), percent)
+    stars = lists.where((F.col("cls") != F.col("head.cls")) & able)
+    stars = stage(stars.select(F.col("head.cls").alias("u"), F.col("cls").alias("v")).distinct())
+    sets = stage(class_sets(docs, _members(stars).join(first, "cls"), words))
     links = stage(verified(stars, sets, percent))
 
-    # lists that the links so far leave in more than one component
+    # lists that the links so far leave in more than one component, without rows that no partner's size suits
     roots = components(links)
-    placed = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    placed = placed.withColumn("low", F.min("root").over(whole)).withColumn("high", F.max("root").over(whole))
-    placed = stage(placed.where("low < high").select("token", "cls", "n", "pos", "root"))
-    a, b = (placed.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "root"))) for s in "uv")
-    # if this token is the first that a pair shares, what comes after it bounds the overlap
-    shared = F.least(F.col("n_u") - F.col("pos_u"), F.col("n_v") - F.col("pos_v"))
+    placed = lists.drop("head").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = F.greatest(F.min("n").over(whole), F.ceil(F.col("n") * percent / 100))
+    placed = placed.withColumn("least", least)
+    placed = placed.where((F.col("n") - F.col("pos")) * (100 + percent) >= percent * (F.col("n") + F.col("least"))).drop("least")
+    span = {"size": F.count("*").over(whole), "low": F.min("root").over(whole), "high": F.max("root").over(whole)}
+    placed = stage(placed.withColumns(span).where("low < high").select("token", "cls", "n", "pos", "root", "size"))
+
+    short = placed.where(F.col("size") <= SHORT_LIST)
+    a, b = (short.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "root"))) for s in "uv")
     cross = a.join(b, "token").where(
         (F.col("cls_u") < F.col("cls_v"))
         & (F.col("root_u") != F.col("root_v"))
-        & _able(F.col("n_u"), F.col("n_v"), percent)
-        & (shared * (100 + percent) >= percent * (F.col("n_u") + F.col("n_v")))
+        & _able(F.col("n_u"), F.col("n_v"), F.col("pos_u"), F.col("pos_v"), percent)
     )
     cross = cross.select(F.col("cls_u").alias("u"), F.col("cls_v").alias("v")).distinct()
     cross = stage(cross.join(stars, ["u", "v"], "left_anti"))
-    return links.unionByName(verified(cross, sets, percent))
+    long = placed.where(F.col("size") > SHORT_LIST)
+    more = _members(cross).unionByName(long.select("cls")).distinct()
+    sets = sets.unionByName(stage(class_sets(docs, more.join(sets.select("cls"), "cls", "left_anti").join(first, "cls"), words)))
+    # one after the other, so that what one step shuffled is free before the next
+    by_pairs = stage(verified(cross, sets, percent))
+    return links.unionByName(by_pairs).unionByName(stage(block_links(long, sets, percent)))
+
+
+def block_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between different roots of each list (token, cls, root, size), found in blocks.
+
+    A list of up to ``LIST_BLOCK`` classes is one block; a longer one is cut into parts by hash, and every two parts (and each part by itself) make a block, so memory is bounded and every pair meets.
+    """
+    parts = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
+    part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+    rows = lists.withColumn("parts", parts).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cls", "root")
+
+    def run(block: pa.Table) -> pa.Table:
+        cls, root = block.column("cls").to_numpy(), block.column("root").to_numpy()
+        found = join_roots([np.frombuffer(t, _U) for t in block.column("tokens").to_pylist()], root, percent)
+        return pa.table([pa.array([cls[x] for x, _ in found], pa.int64()), pa.array([cls[y] for _, y in found], pa.int64())], names=["u", "v"])
+
+    return rows.join(sets, "cls").groupBy("token", "i", "j").applyInArrow(run, "u long, v long")
+
+
+def join_roots(sets: list[np.ndarray], roots: np.ndarray, percent: int, rows: int = 256, columns: int = 4096) -> list[tuple[int, int]]:
+    """Similar pairs that join different roots, enough to connect what similarity connects.
+
+    Overlaps of ``rows`` sets with all others are counted at once, over ``columns`` tokens at a time.
+    """
+    sizes = np.array([len(s) for s in sets])
+    tokens, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = times[number] > 1  # a token of one set adds to no overlap
+    column = np.cumsum(times > 1)[number[shared]] - 1
+    owner, width = owner[shared], int((times > 1).sum())
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    bounds = np.searchsorted(column, np.arange(0, width + columns, columns))
+    label = np.unique(roots, return_inverse=True)[1]
+    out: list[tuple[int, int]] = []
+    for at in range(0, len(sets), rows):
+        mine = slice(at, min(at + rows, len(sets)))
+        if (label == label[0]).all():
+            break
+        overlap = np.zeros((mine.stop - at, len(sets)), np.float32)
+        for k, (p, q) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            held = np.zeros((len(sets), columns), np.float32)
+            held[owner[p:q], column[p:q] - k * columns] = 1
+            overlap += held[mine] @ held.T
+        alike = 100 * overlap >= percent * (sizes[mine, None] + sizes[None] - overlap)
+        for x in range(at, mine.stop):
+            near = np.flatnonzero(alike[x - at] & (label != label[x]))
+            for y in near.tolist():
+                if label[y] != label[x]:
+                    out.append((x, y))
+                    label[label == label[y]] = label[x]
+    return out
+
+
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
