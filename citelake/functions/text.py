@@ -82,6 +82,11 @@ def clean_page(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "[ \t]+", " "), "\n{3,}", "\n\n")
 
 
+def widen_list_markers(text: Column) -> Column:
+    """A zero-width character between a list number and its entry becomes a space."""
+    return F.regexp_replace(text, "(?m)^([ \\t]*\\d{1,3}[.)])[​‌‍⁠﻿­]+(?=[^\\d\\s])", "$1 ")
+
+
 def join_hyphens(text: Column) -> Column:
     """Words broken by a hyphen at a line end."""
     return F.regexp_replace(text, r"(?U)(\w)-\n(\w)", "$1$2")

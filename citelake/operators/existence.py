@@ -180,3 +180,19 @@ def abstract_of(inverted: Column, most: int = 4000) -> Column:
     """Text of an inverted index (word to positions), in order of position."""
     places = F.flatten(F.transform(F.map_entries(inverted), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     return F.substring(F.array_join(F.transform(F.array_sort(places), lambda x: x["w"]), " "), 1, most)
+
+
+def by_identifier(entries: DataFrame, snapshot: DataFrame, identifier: str = "doi") -> DataFrame:
+    """The entries with the snapshot's record of their identifier (compared in lower case); a miss keeps its row, found is false.
+
+    ``snapshot`` has the identifier and ``record``; of several records of one identifier the least counts.
+    """
+    records = snapshot.groupBy(F.lower(identifier).alias("wanted")).agg(F.min("record").alias("record"))
+    joined = entries.withColumn("wanted", F.nullif(F.lower(identifier), F.lit(""))).join(records, "wanted", "left")
+    return joined.withColumn("found", F.col("record").isNotNull()).drop("wanted")
+
+
+def search_text(title: Column, authors: Column, year: Column) -> Column:
+    """What an index is searched for: title, authors and year in 350 characters; null where that is under 12."""
+    text = F.trim(F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in (title, F.substring(authors, 1, 150), year))))
+    return F.when(F.length(text) >= 12, F.substring(text, 1, 350))

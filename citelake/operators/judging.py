@@ -256,3 +256,28 @@ def lenient_json(reply: str) -> dict | None:
     except ValueError:
         return None
     return out if isinstance(out, dict) else None
+
+
+def quote_order(claim_verdicts: DataFrame, by: list[str]) -> DataFrame:
+    """place: the claims of a reference, the most concerning first, equals in their order."""
+    order = W.partitionBy(*by).orderBy(concern_of(F.col("verdict")).desc(), "claim_no")
+    return claim_verdicts.withColumn("place", F.row_number().over(order))
+
+
+def roll_up_reason(claim_verdicts: DataFrame, by: list[str]) -> DataFrame:
+    """by.., reason: how many claims got which verdict, the most concerning first."""
+    counts = claim_verdicts.groupBy(*by, "verdict").agg(F.count("*").alias("n"))
+    rank = concern_of(F.col("verdict"))
+    listed = F.sort_array(F.collect_list(F.struct((-rank).alias("rank"), "verdict", "n")))
+    said = F.transform(listed, lambda x: F.concat(x["n"].cast("string"), F.lit(" "), F.replace(x["verdict"], F.lit("_"), F.lit(" "))))
+    total = F.sum("n")
+    places = F.when(total == 1, " citing place: ").otherwise(" citing places: ")
+    return counts.groupBy(*by).agg(F.concat(total.cast("string"), places, F.array_join(said, ", "), F.lit(".")).alias("reason"))
+
+
+def lexical_reason(score: Column, verdict: Column, terms: Column) -> Column:
+    """Why the lexical tier judged as it did."""
+    shown = F.when(F.size(terms) == 0, "no distinctive terms").otherwise(F.array_join(F.slice(terms, 1, 6), ", "))
+    number = F.format_number(score, 2)
+    low = F.concat(F.lit("Word overlap with the retrieved text was low ("), number, F.lit("), which is not enough to judge either way."))
+    return F.when(verdict == "unverified", low).otherwise(F.concat(F.lit("Lexical overlap "), number, F.lit("; strongest shared terms: "), shown, F.lit(".")))

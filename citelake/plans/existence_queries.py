@@ -230,3 +230,22 @@ def inverted_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("doc_id", existence.abstract_of(F.col("inverted"), 100000).alias("text"))
 
 
+
+
+@R.add(
+    """WITH s AS (SELECT lower('10.5/P' || ps) AS d, min('record ' || l) AS record FROM (SELECT l_partkey AS ps, l_linenumber AS l FROM lineitem WHERE l_quantity > 45) GROUP BY 1)
+    SELECT p_partkey, record, record IS NOT NULL AS found FROM part LEFT JOIN s ON s.d = '10.5/p' || p_partkey AND p_partkey % 5 > 0"""
+)
+def identifier_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works looked up by DOI in a snapshot whose DOIs are spelled otherwise; every fifth work has none."""
+    entries = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 > 0, F.concat(F.lit("10.5/p"), "p_partkey")).otherwise("").alias("doi"))
+    snapshot = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.concat(F.lit("10.5/P"), "l_partkey").alias("doi"), F.concat(F.lit("record "), "l_linenumber").alias("record"))
+    return existence.by_identifier(entries, snapshot.where("doi != ''")).select("p_partkey", "record", "found")
+
+
+@R.add("SELECT c_custkey, CASE WHEN length(t) >= 12 THEN left(t, 350) END AS query FROM (SELECT c_custkey, trim(CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END || ' ' || left(repeat(c_name || ' ', 30), 150) || ' ' || '1999') AS t FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'ab 1999' FROM customer WHERE c_custkey % 2 = 1)")
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_custkey")
+    title = F.when(c % 2 == 1, "ab").when(c % 3 == 0, "").otherwise(F.col("c_mktsegment"))
+    authors = F.when(c % 2 == 1, "").otherwise(F.repeat(F.concat("c_name", F.lit(" ")), 30))
+    return table(spark, sf_dir, "customer").select("c_custkey", existence.search_text(title, authors, F.lit("1999")).alias("query"))

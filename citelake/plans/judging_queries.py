@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citelake.audit import Audit
 from citelake.functions.text import STOP_WORDS, SUFFIXES, tokens
 from citelake.operators import judging
-from citelake.plans.inputs import Registry, table
+from citelake.plans.inputs import Registry, derive, oracle, table
 
 R = Registry()
 
@@ -195,3 +195,29 @@ def audit_of_parts(spark: SparkSession, sf_dir: str) -> Audit:
         F.when(F.col("p") % 5 == 0, "").otherwise(same).alias("abstract"), F.when(F.col("p") % 5 == 0, "").otherwise(same).alias("text"), F.lit("html").alias("kind"), (F.col("p") % 97 == 0).alias("retracted"),
     )
     return Audit(texts, replies, sources)
+
+
+_CONCERN = "CASE verdict WHEN 'unrelated' THEN 5 WHEN 'not_found' THEN 5 WHEN 'weak' THEN 4 WHEN 'unverified' THEN 3 WHEN 'blocked' THEN 3 WHEN 'related' THEN 2 ELSE 1 END"
+
+
+@R.add(oracle("claim_verdicts", f"SELECT run_id, key, claim_no, CAST(row_number() OVER (PARTITION BY run_id, key ORDER BY {_CONCERN} DESC, claim_no) AS INT) AS place FROM claim_verdicts"))
+def quote_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judging.quote_order(derive(spark, sf_dir, "claim_verdicts"), ["run_id", "key"]).select("run_id", "key", "claim_no", "place")
+
+
+@R.add(
+    oracle(
+        "claim_verdicts",
+        f"""/*more*/ c AS (SELECT run_id, key, verdict, {_CONCERN} AS k, count(*) AS n FROM claim_verdicts GROUP BY ALL)
+    SELECT run_id, key, sum(n)::INT || CASE WHEN sum(n) = 1 THEN ' citing place: ' ELSE ' citing places: ' END || string_agg(n || ' ' || replace(verdict, '_', ' '), ', ' ORDER BY k DESC, verdict) || '.' AS reason FROM c GROUP BY run_id, key""",
+    )
+)
+def roll_up_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judging.roll_up_reason(derive(spark, sf_dir, "claim_verdicts"), ["run_id", "key"])
+
+
+@R.add("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 10 < 0.18 THEN 'Word overlap with the retrieved text was low (' || printf('%.2f', l_discount * 10) || '), which is not enough to judge either way.' ELSE 'Lexical overlap ' || printf('%.2f', l_discount * 10) || '; strongest shared terms: ' || CASE WHEN l_linenumber = 1 THEN 'no distinctive terms' ELSE 'a, b' END || '.' END AS reason FROM lineitem")
+def lexical_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = F.col("l_discount") * 10
+    terms = F.when(F.col("l_linenumber") == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"), F.lit("b")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", judging.lexical_reason(score, judging.verdict_of(score), terms).alias("reason"))

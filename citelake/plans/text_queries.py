@@ -115,6 +115,29 @@ def compose_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", similarity.compose_accents_udf(F.substring(loose, 1, 300)).alias("text"))
 
 
+@R.add("SELECT doc_id, '1. ' || replace(text, chr(10), chr(10) || '22) ') AS text FROM documents WHERE NOT regexp_matches(text, '(^|\\n)[\\d\\s]')")
+def list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List numbers glued to their entries by zero-width characters."""
+    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"(^|\n)[\d\s]"))
+    glued = F.concat(F.lit("1.\u200b"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n22)\ufeff\u200b")))
+    return docs.select("doc_id", text.widen_list_markers(glued).alias("text"))
+
+
+_CHOICE = "SELECT conv_id % 60 AS r, turn AS page, text AS plain, CASE WHEN conv_id % 3 = 0 THEN text || ' x [3] y [4, 5]' ELSE text END AS marked FROM conversations"
+
+
+@R.add(
+    f"""WITH p AS ({_CHOICE}), c AS (SELECT r, sum(len(regexp_extract_all(plain, '\\S ?\\[\\d{{1,3}}(?:\\s*[-–—,;]\\s*\\d{{1,3}})*\\]'))) AS b, sum(len(regexp_extract_all(marked, '\\S ?\\[\\d{{1,3}}(?:\\s*[-–—,;]\\s*\\d{{1,3}})*\\]'))) AS a FROM p GROUP BY r)
+    SELECT CAST(r AS VARCHAR) AS run_id, page, CASE WHEN a - b > b AND r % 2 = 0 THEN marked ELSE plain END AS text FROM p JOIN c USING (r)"""
+)
+def superscript_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").withColumn("r", F.col("conv_id") % 60)
+    run = F.col("r").cast("string").alias("run_id")
+    extra = F.when(F.col("conv_id") % 3 == 0, F.concat("text", F.lit(" x [3] y [4, 5]"))).otherwise(F.col("text"))
+    plain, marked = rows.select(run, F.col("turn").alias("page"), "text"), rows.select(run, F.col("turn").alias("page"), extra.alias("text"))
+    return layout.choose_pages(plain, marked, rows.where("r % 2 = 0").select(run))
+
+
 # --- layout -----------------------------------------------------------------------------------------
 
 LINES = """SELECT 'r' || CAST(doc_id % 20 AS STRING) AS run_id, CAST(doc_id AS INT) AS page, CAST(doc_id * 100 + k AS BIGINT) AS line_no,
