@@ -130,9 +130,11 @@ def dedup_chunks(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in range(5)]
         gone = batch.column("gone")
-        raw = np.empty(len(gone.values), DIGEST)
-        raw["hi"], raw["lo"] = (gone.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        raw, at, null = raw.tobytes(), gone.offsets.to_pylist(), gone.is_null().to_pylist()
+        at, null = gone.offsets.to_numpy(), gone.is_null().to_pylist()
+        held = gone.values.slice(at[0], at[-1] - at[0])
+        raw = np.empty(len(held), DIGEST)
+        raw["hi"], raw["lo"] = (held.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        raw, at = raw.tobytes(), (at - at[0]).tolist()
         for k, text in enumerate(texts_of(batch)):
             data = text.encode("utf-8", "surrogatepass")
             own = () if null[k] else (raw[i : i + 12] for i in range(12 * at[k], 12 * at[k + 1], 12))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,17 +54,27 @@ def parts_for(n_bytes: int, per_part: int, least: int = 1) -> int:
     return max(least, -(-n_bytes // per_part))
 
 
+#: Rows that a worker turns into Python objects at once.
+SLICE_ROWS = 1024
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows (views, not copies), without empty ones."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_arrow(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS
 ) -> DataFrame:
-    """``mapInArrow`` with a function of one batch; a batch without rows is skipped."""
+    """``mapInArrow`` with a function of one slice of a batch; slices without rows are skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None and out.num_rows:
-                    yield out
+        for batch in slices(batches, rows):
+            out = fn(batch)
+            if out is not None and out.num_rows:
+                yield out
 
     return df.mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelake.llm.common import empty_if_null, map_arrow, texts_of
+from citelake.llm.common import empty_if_null, map_arrow, slices, texts_of
 
 Q = 8
 RATE = 0.1
@@ -220,8 +220,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -
 
 def _keeper(index):
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array([not spans_of(t, index.value) for t in texts_of(batch)]))
+        for batch in slices(batches):
+            yield batch.filter(pa.array([not spans_of(t, index.value) for t in texts_of(batch)]))
 
     return run

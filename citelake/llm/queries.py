@@ -88,7 +88,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         (F.size("spans") > 0).alias("contaminated"),
-        F.array_sort(F.array_distinct("spans.item_id")).alias("item_ids"),
+        F.array_join(F.array_sort(F.array_distinct("spans.item_id")), ",").alias("items"),
         F.array_min("spans.edits").alias("least_edits"),
         F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["item_id"], s["start"], s["end"], s["edits"])), ",").alias("spans"),
     )

@@ -20,7 +20,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from citelake.llm.common import empty_if_null, map_arrow, texts_of
+from citelake.llm.common import empty_if_null, map_arrow, slices, texts_of
 
 KINDS = ("assign", "access", "hex", "random")
 # The base patterns.
@@ -133,7 +133,7 @@ def masked_documents(docs: DataFrame, ranks_path: str, pattern: str, most: float
             at["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64())
         return pa.RecordBatch.from_arrays([at.get(n, batch.column(i)) for i, n in enumerate(names)], names=names)
 
-    return docs.mapInArrow(lambda batches: (run(b) for b in batches if b.num_rows), docs.schema)
+    return docs.mapInArrow(lambda batches: map(run, slices(batches)), docs.schema)
 
 
 def digest(spans: list[tuple[int, int, int]]) -> str:

@@ -25,15 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelake.llm.common import map_arrow
+from citelake.llm.common import map_arrow, slices
 
-SAMPLE = 6000
+SAMPLE = 4000
 FOLDS = 5
 LEAST_DOCS = 5
 MOST_WORDS = 60_000
 #: Lengths of the word beginnings that count as features beside the words.
 BEGINNINGS = (4, 5, 6, 7)
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
+#: Least scale (a quarter of the squared log ratio between classes) at which a word takes part.
+LEAST_SCALE = 0.05
+#: Texts whose features a worker holds at once.
+AT_ONCE = 256
 THRESHOLD = 0.5
 WORDS = re.compile(r"[^\W\d_]+")
 FORM = 6
@@ -122,18 +126,19 @@ def fit(rows: Rows, y: np.ndarray, words: int, ridge: float = 2e-4, steps: int =
     yes = np.bincount(rows.at[mine], rows.x[mine], minlength=words) / one + 1.0
     no = np.bincount(rows.at[~mine], rows.x[~mine], minlength=words) / one + 1.0
     scale = np.log((yes / (y.sum() + 2)) / (no / (n - y.sum() + 2))) ** 2 / 4
-    x = rows.x * scale[rows.at]
+    told = scale[rows.at] >= LEAST_SCALE  # words that tell nothing get no weight
+    at, owner, x = rows.at[told], owner[told], (rows.x * scale[rows.at])[told]
     theta = np.concatenate([model.w, model.v, [model.b]])
     m, s = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         w, v, b = theta[:words], theta[words:-1], theta[-1]
-        z = np.bincount(owner, x * w[rows.at], minlength=n) + rows.dense @ v + b
+        z = np.bincount(owner, x * w[at], minlength=n) + rows.dense @ v + b
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        grad = np.concatenate([np.bincount(rows.at, x * g[owner], minlength=words), rows.dense.T @ g, [g.sum()]])
+        grad = np.concatenate([np.bincount(at, x * g[owner], minlength=words), rows.dense.T @ g, [g.sum()]])
         grad[:-1] += ridge * theta[:-1]
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad**2
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-    return Linear(theta[:words] * scale, theta[words:-1], float(theta[-1]))
+    return Linear(theta[:words] * np.where(scale >= LEAST_SCALE, scale, 0.0), theta[words:-1], float(theta[-1]))
 
 
 @dataclass
@@ -172,6 +177,8 @@ class ToxicityChain:
         """(texts, categories): each category's probability given the ones before it."""
         if not self.models:
             return np.zeros((len(texts), len(self.categories)))
+        if len(texts) > AT_ONCE:  # features of a whole batch would take many times its size
+            return np.concatenate([self.probabilities(texts[k : k + AT_ONCE]) for k in range(0, len(texts), AT_ONCE)])
         rows = self.rows_of([t or "" for t in texts])
         out = []
         for model in self.models:
@@ -193,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
         return chain
     y_of = {r["doc_id"]: [r[f"y{k}"] for k in range(len(names))] for r in chosen}
     listed = spark.createDataFrame([(i,) for i in sorted(y_of)], "doc_id long")
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(listed), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).where("text is not null").join(F.broadcast(listed), "doc_id", "left_semi")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, n, dense = [], [], []
@@ -207,11 +214,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
             n.append(list(counts.values()))
             dense.append(form(text, found))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(words, pa.list_(pa.string())), pa.array(n, pa.list_(pa.int32())), pa.array(dense, pa.list_(pa.float64()))],
-            names=["doc_id", "words", "n", "form"],
-        )
+            [
+                batch.column("doc_id"), batch.column("mark"), pa.array(words, pa.list_(pa.string())),
+                pa.array(n, pa.list_(pa.int32())), pa.array(dense, pa.list_(pa.float64())),
+            ],
+            names=["doc_id", "mark", "words", "n", "form"],
+        )
 
-    counted = map_arrow(texts, count, "doc_id long, words array<string>, n array<int>, form array<double>").persist()
+    counted = map_arrow(texts, count, "doc_id long, mark long, words array<string>, n array<int>, form array<double>").persist()
     common = counted.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= LEAST_DOCS)
     top = common.orderBy(F.desc("count"), "word").limit(MOST_WORDS).collect()
     chain.words = {r["word"]: k for k, r in enumerate(top)}
@@ -226,31 +236,32 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
             n.append([c for _, c in both])
         kind = pa.list_(pa.int32())
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(at, kind), pa.array(n, kind), batch.column("form")], names=["doc_id", "at", "n", "form"]
+            [batch.column("doc_id"), batch.column("mark"), pa.array(at, kind), pa.array(n, kind), batch.column("form")],
+            names=["doc_id", "mark", "at", "n", "form"],
         )
 
-    numbered = map_arrow(counted, number, "doc_id long, at array<int>, n array<int>, form array<double>")
-    rows = sorted(numbered.collect(), key=lambda r: (r["doc_id"], r["form"]))
+    numbered = map_arrow(counted, number, "doc_id long, mark long, at array<int>, n array<int>, form array<double>")
+    rows = numbered.toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("mark", "ascending")])
     counted.unpersist()
-    chain.idf = np.log((1 + len(rows)) / (1 + np.array([r["count"] for r in top], float))) + 1
-    at, x, starts, n = [], [], [], 0
-    for r in rows:
-        a, b = weights_of(dict(zip(r["at"], r["n"], strict=True)), chain.idf)
-        starts.append(n)
-        n += len(a)
-        at.append(a)
-        x.append(b)
-    data = Rows(
-        np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0), *x]), np.array(starts, np.int64),
-        np.array([r["form"] for r in rows], np.float64).reshape(len(rows), FORM),
-    )
-    y = np.array([y_of[r["doc_id"]] for r in rows], float).reshape(len(rows), len(names))
-    ids = np.array([r["doc_id"] for r in rows], np.int64)
+    n_rows = rows.num_rows
+    chain.idf = np.log((1 + n_rows) / (1 + np.array([r["count"] for r in top], float))) + 1
+    flat = lambda c: rows.column(c).combine_chunks() if n_rows else None
+    at, n, forms = flat("at"), flat("n"), flat("form")
+    if n_rows:
+        numbers, starts = at.flatten().to_numpy().astype(np.int32), np.diff(at.offsets.to_numpy(), prepend=0)[1:]
+        x = np.sqrt(n.flatten().to_numpy()) * chain.idf[numbers]
+        owner = np.repeat(np.arange(n_rows), starts)
+        x /= np.sqrt(np.bincount(owner, x * x, minlength=n_rows))[owner]
+        data = Rows(numbers, x, np.cumsum(starts) - starts, forms.flatten().to_numpy().reshape(n_rows, FORM))
+    else:
+        data = Rows(np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int64), np.zeros((0, FORM)))
+    ids = rows.column("doc_id").to_numpy()
+    y = np.array([y_of[i] for i in ids.tolist()], float).reshape(n_rows, len(names))
     fold = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % FOLDS
     for k in range(len(names)):
         chain.models.append(fit(data, y[:, k], len(top)))
         if k + 1 < len(names):
-            before = np.zeros(len(rows))
+            before = np.zeros(n_rows)
             for f in range(FOLDS):
                 held, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
                 before[held] = fit(data.take(rest), y[rest, k], len(top)).probabilities(data.take(held))
@@ -279,9 +290,8 @@ def without(docs: DataFrame, chain: ToxicityChain, category: str, threshold: flo
     sent, at = docs.sparkSession.sparkContext.broadcast(chain), chain.categories.index(category)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                p = sent.value.probabilities(batch.column("text").to_pylist())
-                yield batch.filter(pa.array(p[:, at] < threshold))
+        for batch in slices(batches):
+            p = sent.value.probabilities(batch.column("text").to_pylist())
+            yield batch.filter(pa.array(p[:, at] < threshold))
 
     return docs.mapInArrow(run, docs.schema)

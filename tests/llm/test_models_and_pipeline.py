@@ -81,7 +81,7 @@ def test_op5_query_and_slices(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, spans int").write.parquet(f"{tmp_path}/documents.parquet")
     bench = [(k, t) for k, t in enumerate(items)] + [(50, None), (51, "short"), (None, items[4]), (3, items[3])]
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r["doc_id"]: (r["contaminated"], list(r["item_ids"])) for r in queries.op5_decontaminate(spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: (r["contaminated"], [int(i) for i in r["items"].split(",") if i]) for r in queries.op5_decontaminate(spark, str(tmp_path)).collect()}
     assert got == {1: (True, [3]), 2: (False, []), 3: (False, []), 4: (False, []), 5: (True, [1, 2]), None: (True, [0])}
     own, benchmark = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet")
     sliced = decontaminate.contaminated_spans(own, benchmark, slice_bytes=400).collect()
