@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import ArrayType, IntegerType
 
 from citelake.llm import decontaminate, ngram_join, piece_codec, secret_scan, toxicity
-from citelake.llm.common import free_name, stage
+from citelake.llm.common import free_name, slices, stage
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -69,7 +69,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         )
 
     kept = docs.select(*names).schema.add("n_tokens", "long").add("ids", ArrayType(IntegerType())).add("round_trip", "boolean")
-    return docs.mapInArrow(lambda batches: (run(b) for b in batches if b.num_rows), kept)
+    return docs.mapInArrow(lambda batches: map(run, slices(batches)), kept)
 
 
 STAGES = [
