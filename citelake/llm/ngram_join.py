@@ -10,7 +10,7 @@ under any global order of tokens share one; so
 3. what is left is verified on the whole sets, and linked classes are joined to components;
 4. lists that still hold more than one component are tested completely across components, with the positions
    in the index's order bounding the overlap: short lists (``SHORT_LIST``) by pairs (steps 2, 3), longer ones
-   in blocks of ``LIST_BLOCK`` classes, each a task that counts all overlaps at once and gives back only links
+   in blocks of about ``LIST_BLOCK`` classes and ``LIST_TOKENS`` tokens, each a group that counts all overlaps at once and gives back only links
    that join components.  So no group of copies is expanded into its pairs, and no component is lost.
 
 How rare a shingle is only shapes the order, which any fixed numbers do correctly: every batch reports the
@@ -25,7 +25,7 @@ null doc_id take no part and get a null component.  Shingles are compared by 64-
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +41,11 @@ WORDS = 5
 PERCENT = 80
 OFTEN = 3
 MOST_LEVELS = 200_000
-SHORT_LIST, LIST_BLOCK = 24, 4096
+SHORT_LIST, LIST_BLOCK, LIST_TOKENS = 24, 2048, 1 << 20
+#: documents that report their common shingles together
+REPORT_ROWS = 10_000
 #: text bytes hashed at once
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -182,7 +184,7 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
             names=["doc_id", "n", "digest", "is_shingle"],
         )
 
-    return map_arrow(docs.select("doc_id", empty_if_null()), run, "doc_id long, n long, digest long, is_shingle boolean")
+    return map_arrow(docs.select("doc_id", empty_if_null()), run, "doc_id long, n long, digest long, is_shingle boolean", REPORT_ROWS)
 
 
 def frequency_levels(reports: DataFrame) -> Levels:
@@ -243,9 +245,14 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
 FURTHER_ORDERS = (2, 3)
 
 
-def passes_filters(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+def further_prefix(s: np.ndarray, salt: int, percent: int) -> np.ndarray:
+    """The first tokens of a set under a further order, sorted for comparing."""
+    return np.sort(prefix(s, mix(s, salt), percent))
+
+
+def passes_filters(a: np.ndarray, b: np.ndarray, percent: int, salts: tuple[int, ...] = FURTHER_ORDERS) -> bool:
     """First tokens in common under each of the further orders: what no similar pair can fail."""
-    return all(_shared(*(np.sort(prefix(s, mix(s, salt), percent)) for s in (a, b))) > 0 for salt in FURTHER_ORDERS)
+    return all(_shared(further_prefix(a, salt, percent), further_prefix(b, salt, percent)) > 0 for salt in salts)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -254,15 +261,30 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes that pass the filters of the further orders and reach the similarity."""
-    u, v = (sets.select(F.col("cls").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "uv")
+    """The pairs (u, v) of classes that pass the filters of the further orders and reach the similarity.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        both = zip(batch.column("tokens_u").to_pylist(), batch.column("tokens_v").to_pylist(), strict=True)
-        sides = ((np.frombuffer(a, _U), np.frombuffer(b, _U)) for a, b in both)
-        return batch.select(["u", "v"]).filter(pa.array([passes_filters(a, b, percent) and similar(a, b, percent) for a, b in sides]))
+    The first filter travels with the few first tokens only; whole sets go to the pairs that it leaves.
+    """
+    early, late = FURTHER_ORDERS[0], FURTHER_ORDERS[1:]
+
+    def shorten(batch: pa.RecordBatch) -> pa.RecordBatch:
+        few = [further_prefix(np.frombuffer(t, _U), early, percent).tobytes() for t in batch.column("tokens").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(few, pa.binary())], names=["cls", "tokens"])
+
+    def kept(test) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            both = zip(batch.column("tokens_u").to_pylist(), batch.column("tokens_v").to_pylist(), strict=True)
+            return batch.select(["u", "v"]).filter(pa.array([test(np.frombuffer(a, _U), np.frombuffer(b, _U)) for a, b in both]))
+
+        return run
+
+    def meet(rows: DataFrame, tokens: DataFrame, test) -> DataFrame:
+        u, v = (tokens.select(F.col("cls").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "uv")
+        return map_arrow(rows.join(u, "u").join(v, "v"), kept(test), "u long, v long")
 
-    return map_arrow(pairs.join(u, "u").join(v, "v"), run, "u long, v long")
+    short = map_arrow(sets, shorten, "cls long, tokens binary")
+    left = stage(meet(pairs, short, lambda a, b: _shared(a, b) > 0))
+    return meet(left, sets, lambda a, b: passes_filters(a, b, percent, late) and similar(a, b, percent))
 
 
 def _able(n: Column, m: Column, n_pos: Column, m_pos: Column, percent: int) -> Column:
@@ -291,8 +313,8 @@ def linked_classes(docs: DataFrame, first: DataFrame, levels: Levels, words: int
     least = F.greatest(F.min("n").over(whole), F.ceil(F.col("n") * percent / 100))
     placed = placed.withColumn("least", least)
     placed = placed.where((F.col("n") - F.col("pos")) * (100 + percent) >= percent * (F.col("n") + F.col("least"))).drop("least")
-    span = {"size": F.count("*").over(whole), "low": F.min("root").over(whole), "high": F.max("root").over(whole)}
-    placed = stage(placed.withColumns(span).where("low < high").select("token", "cls", "n", "pos", "root", "size"))
+    span = {"size": F.count("*").over(whole), "tokens_in": F.sum("n").over(whole), "members": F.bit_xor(F.xxhash64("cls")).over(whole), "low": F.min("root").over(whole), "high": F.max("root").over(whole)}
+    placed = stage(placed.withColumns(span).where("low < high").select("token", "cls", "n", "pos", "root", "size", "tokens_in", "members"))
 
     short = placed.where(F.col("size") <= SHORT_LIST)
     a, b = (short.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "root"))) for s in "uv")
@@ -303,7 +325,9 @@ def linked_classes(docs: DataFrame, first: DataFrame, levels: Levels, words: int
     )
     cross = cross.select(F.col("cls_u").alias("u"), F.col("cls_v").alias("v")).distinct()
     cross = stage(cross.join(stars, ["u", "v"], "left_anti"))
+    # of long lists with the same members one is enough, as it is tested completely
     long = placed.where(F.col("size") > SHORT_LIST)
+    long = long.join(long.groupBy("size", "members").agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
     more = _members(cross).unionByName(long.select("cls")).distinct()
     sets = sets.unionByName(stage(class_sets(docs, more.join(sets.select("cls"), "cls", "left_anti").join(first, "cls"), words)))
     # one after the other, so that what one step shuffled is free before the next
@@ -312,11 +336,12 @@ def linked_classes(docs: DataFrame, first: DataFrame, levels: Levels, words: int
 
 
 def block_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between different roots of each list (token, cls, root, size), found in blocks.
+    """Links (u, v) between different roots of each list (token, cls, root, size, tokens_in), found in blocks.
 
-    A list of up to ``LIST_BLOCK`` classes is one block; a longer one is cut into parts by hash, and every two parts (and each part by itself) make a block, so memory is bounded and every pair meets.
+    A list of up to ``LIST_BLOCK`` classes and ``LIST_TOKENS`` tokens is one block; a larger one is cut into parts
+    by hash, and every two parts (and each part by itself) make a block, so memory is bounded and every pair meets.
     """
-    parts = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
+    parts = F.ceil(F.greatest(F.col("size") / LIST_BLOCK, F.col("tokens_in") / LIST_TOKENS)).cast("int")
     part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
     rows = lists.withColumn("parts", parts).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cls", "root")
@@ -329,7 +354,7 @@ def block_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.join(sets, "cls").groupBy("token", "i", "j").applyInArrow(run, "u long, v long")
 
 
-def join_roots(sets: list[np.ndarray], roots: np.ndarray, percent: int, rows: int = 256, columns: int = 4096) -> list[tuple[int, int]]:
+def join_roots(sets: list[np.ndarray], roots: np.ndarray, percent: int, rows: int = 256, columns: int = 2048) -> list[tuple[int, int]]:
     """Similar pairs that join different roots, enough to connect what similarity connects.
 
     Overlaps of ``rows`` sets with all others are counted at once, over ``columns`` tokens at a time.
