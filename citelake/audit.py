@@ -52,7 +52,7 @@ class Audit:
     reference_cap: int = 250
 
     def close(self) -> None:
-        for name in ("bibliography", "citations", "settled", "claim_verdicts"):
+        for name in ("bibliography", "citations", "settled", "passages", "claims", "claim_verdicts"):
             if name in self.__dict__:
                 self.__dict__.pop(name).unpersist()
 
@@ -89,7 +89,7 @@ class Audit:
 
     @cached_property
     def claims(self) -> DataFrame:
-        return markers.claims_of(self.citations.join(self.references.select(*KEY), KEY, "left_semi"))
+        return markers.claims_of(self.citations.join(self.references.select(*KEY), KEY, "left_semi")).persist()
 
     @cached_property
     def settled(self) -> DataFrame:
@@ -119,12 +119,15 @@ class Audit:
         )
         return existence.settle(rows).persist()
 
+    @cached_property
+    def passages(self) -> DataFrame:
+        named = self.sources.select(*KEY, "title", "abstract", "text")
+        return judging.passages(named, KEY).unionByName(judging.header_passage(named, KEY)).persist()
+
     @cached_property
     def claim_verdicts(self) -> DataFrame:
         """Every claim with its lexical verdict; unverified where nothing was retrieved."""
-        named = self.sources.select(*KEY, "title", "abstract", "text")
-        windows = judging.passages(named, KEY).unionByName(judging.header_passage(named, KEY))
-        judged = judging.lexical_support(self.claims, windows, KEY, ["claim_no"], ["passage_no"])
+        judged = judging.lexical_support(self.claims, self.passages, KEY, ["claim_no"], ["passage_no"])
         rows = self.claims.join(judged, [*KEY, "claim_no"], "left")
         return rows.select(
             *KEY, "claim_no", F.col("text").alias("claim"), F.coalesce("verdict", F.lit("unverified")).alias("verdict"), F.coalesce("score", F.lit(0.0)).alias("score"),
