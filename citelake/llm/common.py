@@ -65,6 +65,19 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+#: Bytes of an Arrow batch between the JVM and a worker.  Both sides hold a batch more than once, so Spark's usual 64 MB
+#: would take some hundred MB of each executor.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches to ``BATCH_BYTES``; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "64m"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def map_arrow(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS
 ) -> DataFrame:
@@ -76,6 +89,7 @@ def map_arrow(
             if out is not None and out.num_rows:
                 yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

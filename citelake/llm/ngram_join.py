@@ -13,8 +13,8 @@ under any global order of tokens share one; so
    in blocks of about ``LIST_BLOCK`` classes and ``LIST_TOKENS`` tokens, each a group that counts all overlaps at once and gives back only links
    that join components.  So no group of copies is expanded into its pairs, and no component is lost.
 
-How rare a shingle is only shapes the order, which any fixed numbers do correctly: every batch reports the
-shingles that occur in at least ``OFTEN`` of its different sets, the reports are summed over all documents,
+How rare a shingle is only shapes the order, which any fixed numbers do correctly: every task reports, for some
+``REPORT_TOKENS`` shingles at a time, those that occur in at least ``OFTEN`` different sets, the reports are summed over all documents,
 and the ``MOST_LEVELS`` most frequent ones are held by all workers.
 
 Words are runs of other characters than space, tab, line feed, vertical tab, form feed and carriage return,
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from citelake.llm.common import empty_if_null, map_arrow, stage
+from citelake.llm.common import empty_if_null, map_arrow, slices, small_batches, stage
 from citelake.llm.components import components
 
 WORDS = 5
@@ -42,8 +42,8 @@ PERCENT = 80
 OFTEN = 3
 MOST_LEVELS = 200_000
 SHORT_LIST, LIST_BLOCK, LIST_TOKENS = 24, 2048, 1 << 20
-#: documents that report their common shingles together
-REPORT_ROWS = 10_000
+#: shingles that report the common ones among them together
+REPORT_TOKENS = 4 << 20
 #: text bytes hashed at once
 BLOCK = 1 << 19
 
@@ -158,33 +158,40 @@ def prefix(s: np.ndarray, order: np.ndarray, percent: int = PERCENT) -> np.ndarr
 def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Rows of two kinds: each document's set size and digest, and each batch's frequent shingles with counts."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, digests = [], []
-        seen: set[int] = set()
-        pool: list[np.ndarray] = []
-        for s in shingle_sets(batch.column("text").to_pylist(), words):
-            sizes.append(len(s))
-            digests.append(set_digest(s))
-            if digests[-1] not in seen:
-                seen.add(digests[-1])
-                pool.append(s)
+    def report(pool: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         tokens = np.sort(np.concatenate(pool))
-        edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]])) if len(tokens) else np.zeros(1, int)
+        edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
         n = np.diff(edge)
-        often = n >= OFTEN
-        which, n = tokens[edge[:-1]][often].astype(np.int64), n[often]
-        k = len(which)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([batch.column("doc_id"), pa.nulls(k, pa.int64())]),
-                pa.array(np.concatenate([np.array(sizes, np.int64), n])),
-                pa.array(np.concatenate([np.array(digests, np.int64), which])),
-                pa.array(np.arange(len(sizes) + k) >= len(sizes)),
-            ],
-            names=["doc_id", "n", "digest", "is_shingle"],
-        )
+        return tokens[edge[:-1]][n >= OFTEN].astype(np.int64), n[n >= OFTEN]
+
+    def rows(ids: pa.Array, n: np.ndarray, digests: np.ndarray, is_shingle: bool) -> pa.RecordBatch:
+        kinds = pa.array(np.full(len(n), is_shingle))
+        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests, pa.int64()), kinds], names=["doc_id", "n", "digest", "is_shingle"])
 
-    return map_arrow(docs.select("doc_id", empty_if_null()), run, "doc_id long, n long, digest long, is_shingle boolean", REPORT_ROWS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        pool: list[np.ndarray] = []
+        held = 0
+        for batch in slices(batches):
+            sizes, digests = [], []
+            for s in shingle_sets(batch.column("text").to_pylist(), words):
+                sizes.append(len(s))
+                digests.append(set_digest(s))
+                if len(s) and digests[-1] not in seen:
+                    seen.add(digests[-1])
+                    pool.append(s)
+                    held += len(s)
+            yield rows(batch.column("doc_id"), np.array(sizes, np.int64), np.array(digests, np.int64), False)
+            if held >= REPORT_TOKENS:
+                which, n = report(pool)
+                yield rows(pa.nulls(len(n), pa.int64()), n, which, True)
+                seen, pool, held = set(), [], 0
+        if pool:
+            which, n = report(pool)
+            yield rows(pa.nulls(len(n), pa.int64()), n, which, True)
+
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", empty_if_null()).mapInArrow(run, "doc_id long, n long, digest long, is_shingle boolean")
 
 
 def frequency_levels(reports: DataFrame) -> Levels:
