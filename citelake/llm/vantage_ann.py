@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 LEAF = 128
 SHARD_ROWS = 8192
 QUERY_BLOCK = 512
+PAIRS = 1 << 18  # candidate pairs held before only the best k of each query stay
 
 
 @dataclass
@@ -66,9 +67,13 @@ class VantageTree:
 
     def search(self, qids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[list, list]:
         """Ids and scores of the k best of this shard for each query, best first; fewer if there are fewer."""
-        m, slack = len(qids), 1e-9 * (1 + self.top)
+        m = len(qids)
         lifted = np.column_stack([queries, np.zeros(m)])
         q2 = np.einsum("ij,ij->i", queries, queries)
+        size, eps = queries.shape[1] + 8, np.finfo(np.float64).eps
+        # bounds of rounding: in distances, which are roots of differences, and between fast and exact scores
+        slack = 8 * np.sqrt(size * eps) * (np.sqrt(self.top) + np.sqrt(q2))
+        blur = 4 * size * eps * np.sqrt(self.top * q2)
         low = np.zeros((m, len(self.leaves)))
         if self.vantages:
             v = self.lifted[self.vantages]
@@ -77,14 +82,22 @@ class VantageTree:
                 for at, least, most in path:
                     np.maximum(low[:, leaf], np.maximum(least - away[:, at], away[:, at] - most), out=low[:, leaf])
         order = np.argsort(low, axis=1, kind="stable")
-        keep = k + 12  # a few more than asked for, so that rounding in the fast product can't drop a tie
-        best = np.full((m, keep), -np.inf)
-        who = np.full((m, keep), -1)
+        best = np.full((m, k), -np.inf)
+        least = np.full(m, -np.inf)  # the k-th best score so far
         rows_of_m = np.arange(m)
+        none = np.zeros(0, np.int64)
+        done, waiting, n_waiting = (none, none, np.zeros(0)), [], 0
+
+        def settled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            asked, rows, fast = map(np.concatenate, zip(*waiting, strict=True))
+            ok = fast >= (least - blur)[asked]
+            asked, rows = asked[ok], rows[ok]
+            new = (asked, rows, self._exact(rows, queries, asked))
+            return self._first(*map(np.concatenate, zip(done, new, strict=True)), k)
+
         for step in range(len(self.leaves)):
             leaf_of = order[:, step]
-            reach = q2 + self.top - 2 * best[:, k - 1]
-            radius = np.sqrt(np.maximum(reach, 0.0))
+            radius = np.sqrt(np.maximum(q2 + self.top - 2 * least, 0.0))
             active = rows_of_m[factor * low[rows_of_m, leaf_of] <= radius + slack]
             if not len(active):
                 continue
@@ -94,18 +107,34 @@ class VantageTree:
                 s = queries[part] @ self.points[rows].T
                 s[self.ids[rows][None] == qids[part][:, None]] = -np.inf
                 both = np.concatenate([best[part], s], axis=1)
-                names = np.concatenate([who[part], np.broadcast_to(rows, s.shape)], axis=1)
-                first = np.argsort(-both, axis=1, kind="stable")[:, :keep]
-                best[part] = np.take_along_axis(both, first, 1)
-                who[part] = np.take_along_axis(names, first, 1)
-        ids, scores = [], []
-        for i in range(m):
-            rows = who[i][np.isfinite(best[i])]
-            exact = np.cumsum(self.points[rows] * queries[i], axis=1)[:, -1]  # in order: the same sum for equal vectors
-            first = np.lexsort((self.ids[rows], -exact))[:k]
-            ids.append(self.ids[rows][first])
-            scores.append(exact[first])
-        return ids, scores
+                best[part] = np.partition(both, len(rows), axis=1)[:, len(rows) :]
+                least[part] = best[part].min(axis=1)
+                # every row that may be among the k best or tie with the last of them
+                at, which = np.nonzero((s >= (least - blur)[part][:, None]) & (s > -np.inf))
+                waiting.append((part[at], rows[which], s[at, which]))
+                n_waiting += len(at)
+                if n_waiting > PAIRS:
+                    done, waiting, n_waiting = settled(), [], 0
+        if waiting:
+            done = settled()
+        asked, rows, scores = done
+        cut = np.searchsorted(asked, rows_of_m[1:])
+        return np.split(self.ids[rows], cut), np.split(scores, cut)
+
+    def _exact(self, rows: np.ndarray, queries: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Scores of pairs, summed in order: the same sum for equal vectors."""
+        out, some = np.empty(len(rows)), max(1, (1 << 20) // queries.shape[1])
+        for at in range(0, len(rows), some):
+            part = slice(at, at + some)
+            out[part] = np.cumsum(self.points[rows[part]] * queries[asked[part]], axis=1)[:, -1]
+        return out
+
+    def _first(self, asked: np.ndarray, rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """The k best pairs of each query, equal scores by id."""
+        order = np.lexsort((self.ids[rows], -scores, asked))
+        asked, rows, scores = asked[order], rows[order], scores[order]
+        ok = np.arange(len(asked)) - np.searchsorted(asked, asked) < k
+        return asked[ok], rows[ok], scores[ok]
 
 
 def usable(column: str) -> Column:

@@ -286,6 +286,26 @@ def test_op8_equals_brute_force(spark, tmp_path, monkeypatch):
     assert queries.op8_vantage_ann(spark, str(tmp_path)).count() == len(got)
 
 
+@pytest.mark.parametrize("pairs", [1 << 18, 500])
+@pytest.mark.parametrize("kind", ["copies", "unit copies", "small integers"])
+def test_op8_ties_over_many_leaves_go_to_smaller_ids(monkeypatch, kind, pairs):
+    monkeypatch.setattr(vantage_ann, "LEAF", 16)
+    monkeypatch.setattr(vantage_ann, "PAIRS", pairs, raising=False)
+    rng = np.random.default_rng(2)
+    x = rng.integers(-1, 2, size=(900, 8)).astype(float) if kind == "small integers" else rng.normal(size=(900, 8))
+    if kind != "small integers":
+        x[rng.permutation(900)[:400]] = x[5]
+    if kind == "unit copies":
+        x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = rng.permutation(900) * 7
+    tree = vantage_ann.VantageTree(ids, x)
+    found, scores = tree.search(ids[:300], x[:300], 20, 1.0)
+    for q in range(300):
+        exact = np.cumsum(x * x[q], axis=1)[:, -1]
+        want = [i for i in np.lexsort((ids, -exact)) if i != q][:20]
+        assert found[q].tolist() == ids[want].tolist() and scores[q].tolist() == exact[want].tolist()
+
+
 def test_relaxed_factor_keeps_recall_and_skips_leaves():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 32)) * 3
