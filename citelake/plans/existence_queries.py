@@ -42,6 +42,23 @@ def title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "candidate_no", F.round("score", 6).alias("score"))
 
 
+def _sentences(frame: DataFrame, *by: str) -> DataFrame:
+    """by.., sentence_no, title: every sentence of each text; a line's end ends a sentence."""
+    return frame.select(*by, F.posexplode(F.split("text", r"\n|(?<=[.!?])\s+")).alias("sentence_no", "title"))
+
+
+@R.add()
+def title_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sentence of the benchmark items looked up among all sentences of whole documents (checked against brute force in the unit tests).
+
+    ``title_search`` looks at openings only, as its SQL says.
+    """
+    entries = _sentences(table(spark, sf_dir, "benchmark"), "item_id")
+    candidates = _sentences(table(spark, sf_dir, "documents"), "doc_id").select(F.struct("doc_id", F.col("sentence_no").alias("doc_sentence")).alias("candidate_no"), "title")
+    found = existence.best_candidates(entries, candidates, ["item_id", "sentence_no"]).where(F.col("score") >= existence.FABRICATED)
+    return found.select("item_id", "sentence_no", "candidate_no.doc_id", "candidate_no.doc_sentence", F.round("score", 6).alias("score"))
+
+
 AGREEMENT = """SELECT l_orderkey, l_linenumber, l_discount * 10 AS t, CASE l_partkey % 3 WHEN 0 THEN 'smith' WHEN 1 THEN 'jones' ELSE '' END AS printed,
     CASE l_suppkey % 3 WHEN 0 THEN 'smith' WHEN 1 THEN 'lee' ELSE '' END AS found, CAST(2000 + l_partkey % 3 AS STRING) AS y1, CAST(2000 + l_suppkey % 2 AS STRING) AS y2 FROM {lineitem}"""
 
