@@ -471,11 +471,22 @@ def highlight_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add()
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the benchmark items' openings stand among the pages of each run (checked against plain search in the unit tests)."""
-    tokens = highlights.word_tokens(_words(spark, sf_dir), ["run_id"])
-    runs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("run_id")).distinct()
-    phrases = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("candidate_no"), F.substring_index("text", " ", 8).alias("text"))
-    return highlights.find_phrases(runs.join(F.broadcast(phrases)), tokens, ["run_id"])
+    """Where each benchmark item stands first in each document that holds it (checked against plain search in the unit tests).
+
+    A document is a run of one page, so that every document is searched, to its end.  Only documents that hold an
+    item's letters and digits are cut into tokens.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.lit(0).alias("page"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("item"), F.lit(0).alias("page"), "text")
+    squeezed = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    wanted = items.select("item", squeezed("text").alias("needle")).where("needle != ''")
+    pairs = docs.select("run_id", squeezed("text").alias("held")).join(F.broadcast(wanted), F.contains("held", "needle")).select("run_id", "item").distinct()
+    split = lambda rows, by: highlights.word_tokens(rows.select(by, "page", F.posexplode(F.split("text", r"\s+")).alias("word_no", "text")), [by])
+    tokens = split(docs.join(pairs.select("run_id").distinct(), "run_id", "left_semi"), "run_id").join(pairs, "run_id")
+    # the items' tokens by the same rule, so that words broken at a hyphen are joined on both sides
+    needles = split(items, "item").groupBy("item").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]), " ").alias("text"))
+    phrases = pairs.join(needles, "item").withColumn("candidate_no", F.col("item"))
+    return highlights.find_phrases(phrases, tokens, ["run_id", "item"]).select("run_id", "candidate_no", "page", "place")
 
 
 @R.add(

@@ -3,7 +3,7 @@
 import random
 import re
 
-from citelake.plans import existence_queries
+from citelake.plans import existence_queries, text_queries
 
 SENTENCE = re.compile(r"\n|(?<=[.!?])\s+")
 STOP = {"the", "and", "for", "with", "from", "into", "using"}
@@ -45,3 +45,32 @@ def test_title_search_looks_at_every_sentence(spark, tmp_path):
             if best[0] >= 0.35:
                 want.append((item, no, *best[1], round(best[0], 6)))
     assert got == sorted(want) and len(got) == 12 and all(r[2] >= 100 and r[3] == 26 for r in got)
+
+
+def test_phrase_search_reaches_every_document_to_its_end(spark, tmp_path):
+    rng = random.Random(5)
+    items = [(k, words(rng, 30)) for k in range(4)] + [(4, "One two-part, well- known case: it ends"), (5, "never anywhere at all seen")]
+    items.append((6, " ".join(items[0][1].split()[:8]) + " but then other words"))
+    docs = [(k, words(rng, 40)) for k in range(30)]
+    docs += [(d, f"{words(rng, n)} {items[i][1].upper()}. {words(rng, 5)}") for d, n, i in ((2999, 3, 0), (3050, 3, 0), (3051, 900, 1), (99999, 2500, 2), (4000, 0, 4))]
+    docs += [(5000, f"{items[3][1]}\n{words(rng, 70)}\n{items[1][1]} {items[3][1]}"), (5001, " ".join(items[0][1].split()[:9])), (5002, None), (5003, "")]
+    sf = write(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=(items, "item_id long, text string"))
+    got = sorted(tuple(r) for r in text_queries.phrase_search(spark, sf).collect())
+
+    def tokens(s):
+        given, out = re.split(r"\s+", s), []
+        while given:
+            w = given.pop(0)
+            if w.endswith("-") and given:
+                w = w[:-1] + given.pop(0)
+            out.append(re.sub("[^a-z0-9]", "", w.lower()))
+        return [w for w in out if w]
+
+    want = []
+    for doc, body in docs:
+        held = tokens(body or "")
+        for item, phrase in items:
+            n = tokens(phrase)
+            starts = [k for k in range(len(held) - len(n) + 1) if held[k : k + len(n)] == n]
+            want += [(doc, item, 0, starts[0] + 1)] if starts else []
+    assert got == sorted(want) and {d for d, *_ in got} == {2999, 3050, 3051, 99999, 4000, 5000} and len(got) == 7
