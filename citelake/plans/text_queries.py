@@ -101,6 +101,12 @@ def fold_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("lang <> 'de'").select("doc_id", similarity.fold_udf(F.substring("text", 1, 200)).alias("folded"))
 
 
+@R.add()
+def fold_accents_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, whole (fold_accents takes openings, without German, as its SQL says; checked in the unit tests)."""
+    return table(spark, sf_dir, "documents").select("doc_id", similarity.fold_udf("text").alias("folded"))
+
+
 @R.add()
 def fuzzy_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-set ratio of neighbouring part names (string similarity: pinned in the unit tests)."""
@@ -112,7 +118,7 @@ def fuzzy_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add()
 def compose_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
     loose = F.replace(F.col("text"), F.lit("a"), F.lit("´a"))
-    return table(spark, sf_dir, "documents").select("doc_id", similarity.compose_accents_udf(F.substring(loose, 1, 300)).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", similarity.compose_accents_udf(loose).alias("text"))
 
 
 @R.add("SELECT doc_id, '1. ' || replace(text, chr(10), chr(10) || '22) ') AS text FROM documents WHERE NOT regexp_matches(text, '(^|\\n)[\\d\\s]')")

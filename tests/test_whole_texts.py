@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 
 from citelake.plans import existence_queries, text_queries
 
@@ -74,3 +75,20 @@ def test_phrase_search_reaches_every_document_to_its_end(spark, tmp_path):
             starts = [k for k in range(len(held) - len(n) + 1) if held[k : k + len(n)] == n]
             want += [(doc, item, 0, starts[0] + 1)] if starts else []
     assert got == sorted(want) and {d for d, *_ in got} == {2999, 3050, 3051, 99999, 4000, 5000} and len(got) == 7
+
+
+def test_accents_and_indexes_take_whole_texts_of_all_rows(spark, tmp_path):
+    rng = random.Random(7)
+    docs = [(k, f"{words(rng, n)} Straße ÜBER ´a ciónñ {words(rng, 3)}  end\nßa", lang) for k, (n, lang) in enumerate([(0, "de"), (80, None), (400, "es"), (25000, "de")])]
+    docs += [(10, None, "en"), (11, "", "de")]
+    sf = write(spark, tmp_path, documents=(docs, "doc_id long, text string, lang string"))
+
+    def plain(s):
+        return "".join(c for c in unicodedata.normalize("NFKD", s or "") if not unicodedata.combining(c)).lower()
+
+    def composed(s):  # every a has its accent in front; another stands before the one of ´a
+        return re.sub("´a", "á", s.replace("a", "´a"))
+
+    assert {tuple(r) for r in text_queries.fold_accents_whole(spark, sf).collect()} == {(k, plain(s)) for k, s, _ in docs}
+    assert {tuple(r) for r in text_queries.compose_accents(spark, sf).collect()} == {(k, composed(s or "")) for k, s, _ in docs}
+    assert {tuple(r) for r in existence_queries.inverted_abstract_whole(spark, sf).collect()} == {(k, s) for k, s, _ in docs}
