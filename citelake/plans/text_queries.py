@@ -29,16 +29,29 @@ def dehyphenate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.join_hyphens(broken).alias("text"))
 
 
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 900 + 1).alias("l_partkey"), (F.col("l_suppkey") % 500 % 70).alias("span"), (F.col("l_suppkey") % 500).alias("s")).distinct()
+
+
+def _expanded(rows: DataFrame) -> DataFrame:
+    group = F.concat(F.col("l_linenumber"), F.lit(", "), F.col("l_partkey"), F.lit("-"), F.col("l_partkey") + F.col("span"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(text.expand_numbers(group), ",").alias("keys"))
+
+
 @R.add(
     """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey % 70 BETWEEN 1 AND 60 THEN array_to_string(list_concat([CAST(l_linenumber AS VARCHAR)],
         list_transform(range(l_partkey, l_partkey + l_suppkey % 70 + 1), lambda x: CAST(x AS VARCHAR))), ',') ELSE l_linenumber || ',' || l_partkey END AS keys
     FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey % 900 + 1 AS l_partkey, l_suppkey % 500 AS l_suppkey FROM lineitem) WHERE l_partkey + l_suppkey % 70 < 1000"""
 )
 def range_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 900 + 1).alias("l_partkey"), (F.col("l_suppkey") % 500 % 70).alias("span"), (F.col("l_suppkey") % 500).alias("s")).distinct()
-    rows = rows.where(F.col("l_partkey") + F.col("span") < 1000)
-    group = F.concat(F.col("l_linenumber"), F.lit(", "), F.col("l_partkey"), F.lit("-"), F.col("l_partkey") + F.col("span"))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(text.expand_numbers(group), ",").alias("keys"))
+    rows = _ranges(spark, sf_dir)
+    return _expanded(rows.where(F.col("l_partkey") + F.col("span") < 1000))
+
+
+@R.add()
+def range_expand_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items, also ranges that end beyond three digits (range_expand leaves them out, as its SQL says)."""
+    return _expanded(_ranges(spark, sf_dir))
 
 
 @R.add("SELECT c_custkey, lower(regexp_replace(c_mktsegment, '[^A-Za-z]', '', 'g')) || CAST(1990 + c_custkey % 30 AS VARCHAR) AS key FROM customer")
@@ -125,6 +138,16 @@ def compose_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List numbers glued to their entries by zero-width characters."""
     docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"(^|\n)[\d\s]"))
+    return _widened(docs)
+
+
+@R.add()
+def list_markers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, also those with lines that begin with a digit or blank (list_markers leaves them out, as its SQL says)."""
+    return _widened(table(spark, sf_dir, "documents"))
+
+
+def _widened(docs: DataFrame) -> DataFrame:
     glued = F.concat(F.lit("1.\u200b"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n22)\ufeff\u200b")))
     return docs.select("doc_id", text.widen_list_markers(glued).alias("text"))
 
@@ -291,8 +314,17 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(r AS VARCHAR) AS run_id, arg_max(style, hits * 10 - CASE style WHEN 'numeric' THEN 0 WHEN 'author-year' THEN 1 ELSE 2 END) AS style, CAST(max(hits) AS BIGINT) AS hits FROM h GROUP BY r HAVING max(hits) >= 5"""
 )
 def style_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _voted(table(spark, sf_dir, "lineitem").where("l_orderkey % 500 < 400 or l_linenumber = 7"))
+
+
+@R.add()
+def style_vote_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items (style_vote takes a part of them, as its SQL says)."""
+    return _voted(table(spark, sf_dir, "lineitem"))
+
+
+def _voted(rows: DataFrame) -> DataFrame:
     part = F.col("l_partkey") % 4
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 500 < 400 or l_linenumber = 7")
     style = F.when(part == 0, "alpha").when(part == 1, "author-year").otherwise("numeric")
     return markers.style_vote(rows.select((F.col("l_orderkey") % 500).cast("string").alias("run_id"), style.alias("style"), (F.col("l_linenumber") % 3 + 1).alias("n_keys")))
 
@@ -469,6 +501,12 @@ def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return highlights.word_tokens(words.join(broken, ["run_id", "page"], "left_anti"), ["run_id"])
 
 
+@R.add()
+def page_tokens_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all pages, words broken at a hyphen joined (page_tokens leaves such pages out, as its SQL says)."""
+    return highlights.word_tokens(_words(spark, sf_dir), ["run_id"])
+
+
 @R.add()
 def highlight_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.lit("").alias("claim"), F.array("text").alias("passages"))

@@ -62,7 +62,7 @@ def test_phrase_search_reaches_every_document_to_its_end(spark, tmp_path):
         given, out = re.split(r"\s+", s), []
         while given:
             w = given.pop(0)
-            if w.endswith("-") and given:
+            while w.endswith("-") and given:
                 w = w[:-1] + given.pop(0)
             out.append(re.sub("[^a-z0-9]", "", w.lower()))
         return [w for w in out if w]
@@ -92,3 +92,37 @@ def test_accents_and_indexes_take_whole_texts_of_all_rows(spark, tmp_path):
     assert {tuple(r) for r in text_queries.fold_accents_whole(spark, sf).collect()} == {(k, plain(s)) for k, s, _ in docs}
     assert {tuple(r) for r in text_queries.compose_accents(spark, sf).collect()} == {(k, composed(s or "")) for k, s, _ in docs}
     assert {tuple(r) for r in existence_queries.inverted_abstract_whole(spark, sf).collect()} == {(k, s) for k, s, _ in docs}
+
+
+def test_awkward_rows_are_not_left_out(spark, tmp_path):
+    rng = random.Random(9)
+    items = [(k, 1 + k % 7, rng.randrange(2000), rng.randrange(600)) for k in range(1500)] + [(450, 1, 899, 60), (451, 2, 899, 5), (452, 3, 10, 65)]
+    docs = [(1, "7 begins with a digit\nplain"), (2, " blank first\n22 lines"), (3, "one\ntwo"), (60, "a well- known and co- op- ted word-\nend trailing-")]
+    sf = write(spark, tmp_path, documents=(docs, "doc_id long, text string"), lineitem=(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"))
+
+    want = set()
+    for order, line, part, supp in items:
+        low, span = part % 900 + 1, supp % 500 % 70
+        # an end of four digits is no range: the low end alone counts
+        numbers = range(low, low + span + 1) if 0 < span <= 60 and low + span < 1000 else [low]
+        want.add((order, line, low, ",".join(map(str, [line, *numbers]))))
+    assert {tuple(r) for r in text_queries.range_expand_whole(spark, sf).collect()} == want
+
+    hits = {}
+    for order, line, part, _ in items:
+        votes = hits.setdefault(str(order % 500), {})
+        style = {0: "alpha", 1: "author-year"}.get(part % 4, "numeric")
+        votes[style] = votes.get(style, 0) + line % 3 + 1
+    best = {r: max(v.items(), key=lambda x: (x[1], ["alpha", "author-year", "numeric"].index(x[0]))) for r, v in hits.items()}
+    voted = {tuple(r) for r in text_queries.style_vote_whole(spark, sf).collect()}
+    assert voted == {(r, *v) for r, v in best.items() if v[1] >= 5} and any(int(r) >= 400 for r, *_ in voted)
+
+    lists = dict(tuple(r) for r in text_queries.list_markers_whole(spark, sf).collect())
+    marker = re.compile("(?m)^([ \\t]*\\d{1,3}[.)])[\u200b\u200c\u200d\u2060\ufeff\u00ad]+(?=[^\\d\\s])")  # the reference's rule
+    assert lists == {k: marker.sub(r"\1 ", "1.\u200b" + s.replace("\n", "\n22)\ufeff\u200b")) for k, s in docs}
+    assert lists[3] == "1. one\n22) two" and lists[1] == "1.\u200b7 begins with a digit\n22) plain"
+
+    tokens = {}
+    for r in sorted(map(tuple, text_queries.page_tokens_whole(spark, sf).collect())):
+        tokens.setdefault(r[:2], []).append(r[3])
+    assert tokens[(10, 1)] == ["a", "wellknown", "and", "coopted", "wordend", "trailing"] and len(tokens) == 4
