@@ -4,12 +4,12 @@ A gear rolling hash over the UTF-8 bytes puts a cut wherever its low bits are ze
 the bytes just before them: an insertion shifts positions but moves no other cut.  Chunks have at least
 ``LEAST`` bytes and, by forced cuts, about ``MOST`` at most (a short rest joins the last chunk).  A chunk
 repeats when its digest occurs before, in a document with a smaller doc_id or earlier in the same one.
-Runs of repeating chunks are removed from ``LEAST_RUN`` bytes on, so that a few common words that happen to
-make a chunk stay; the first occurrence of a chunk always stays.
+Runs of repeating chunks are removed from ``least_run`` bytes on, so that a few common words that happen to
+make a chunk stay; 0 removes every one.  The first occurrence of a chunk always stays.
 
 The gear table is 32 bits wide, so the hash is a function of the last 32 bytes and can be computed for all
 positions at once.  Nulls in the text count as empty; rows with a null doc_id, or with the same doc_id, are
-not compared with each other and lose only what repeats within their own text.
+not compared with each other and lose only what repeats within their own text; every row gives one row.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("gone"))
 
 
-def kept_bytes(data: bytes, gone: set[bytes]) -> tuple[bytes, int, int, int]:
+def kept_bytes(data: bytes, gone: set[bytes], least_run: int = LEAST_RUN) -> tuple[bytes, int, int, int]:
     """What stays of a text, its chunks, removed bytes, and maximal removed runs; ``gone``: digests held elsewhere."""
     ends = cuts(data)
     seen = set(gone)
@@ -116,13 +116,13 @@ def kept_bytes(data: bytes, gone: set[bytes]) -> tuple[bytes, int, int, int]:
         else:
             runs.append([at, end])
         at = end
-    runs = [r for r in runs if r[1] - r[0] >= LEAST_RUN]
+    runs = [r for r in runs if r[1] - r[0] >= least_run]
     places = [0, *(x for r in runs for x in r), len(data)]
     kept = b"".join(data[a:b] for a, b in zip(places[::2], places[1::2], strict=True))
     return kept, len(ends), len(data) - len(kept), len(runs)
 
 
-def dedup_chunks(docs: DataFrame) -> DataFrame:
+def dedup_chunks(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_removed, n_spans, kept (binary) for every document."""
     repeated = repeated_chunks(docs)
     joined = docs.select("doc_id", empty_if_null()).join(repeated, "doc_id", "left")
@@ -138,7 +138,7 @@ def dedup_chunks(docs: DataFrame) -> DataFrame:
         for k, text in enumerate(texts_of(batch)):
             data = text.encode("utf-8", "surrogatepass")
             own = () if null[k] else (raw[i : i + 12] for i in range(12 * at[k], 12 * at[k + 1], 12))
-            kept, chunks, removed, spans = kept_bytes(data, set(own))
+            kept, chunks, removed, spans = kept_bytes(data, set(own), least_run)
             for c, v in zip(cols, (len(data), chunks, removed, spans, kept), strict=True):
                 c.append(v)
         kinds = [pa.int64()] * 4 + [pa.binary()]

@@ -9,15 +9,18 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a temporary folder used instead.
+    Where the session names none, a run on one machine (tests) gets a folder of its own; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="citelake-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -26,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    What the plan shuffled is no longer needed then, and its files are given free.
+    What the plan shuffled is no longer needed then, and its files are given free.  ``unstage`` deletes the table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/citelake-{uuid.uuid4().hex}"
@@ -34,7 +37,18 @@ def stage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     del df
     free_shuffles(spark)
-    return spark.read.schema(schema).parquet(path)
+    staged = spark.read.schema(schema).parquet(path)
+    staged.staged_paths = [path]
+    return staged
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete the tables behind staged frames, once nothing reads them any more."""
+    for frame in frames:
+        jvm, conf = frame.sparkSession._jvm, frame.sparkSession._jsc.hadoopConfiguration()
+        for path in getattr(frame, "staged_paths", []):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -79,9 +93,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def map_arrow(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, rows: int = SLICE_ROWS
 ) -> DataFrame:
-    """``mapInArrow`` with a function of one slice of a batch; slices without rows are skipped."""
+    """``mapInArrow`` with a function of one slice of a batch; slices without rows are skipped.
+
+    All maps of the corpus operators go through here, so that all have small batches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, rows):
@@ -106,3 +123,12 @@ def free_name(name: str, taken: list[str]) -> str:
     while name.lower() in {t.lower() for t in taken}:
         name += "_"
     return name
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def schema_of(df: DataFrame, keep: list[str], more: str) -> StructType:
+    """The fields ``keep`` of ``df`` as they are, whatever their names, and the fields of ``more`` behind them."""
+    return StructType([df.schema[c] for c in keep] + _parse_datatype_string(more).fields)

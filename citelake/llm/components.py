@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelake.llm.common import stage
+from citelake.llm.common import stage, unstage
 
 
 def _to_least(edges: DataFrame, keep: str) -> DataFrame:
@@ -31,7 +31,10 @@ def components(edges: DataFrame) -> DataFrame:
         mark = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (mark["n"], mark["x"]) == before:
             break
-        before = (mark["n"], mark["x"])
+        before, last = (mark["n"], mark["x"]), edges
         edges = stage(_to_least(_to_least(edges, "v > u"), "v < u"))
+        unstage(last)
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out.staged_paths = edges.staged_paths
+    return out

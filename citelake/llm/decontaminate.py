@@ -6,16 +6,23 @@ least m - q + 1 - k*q of the item's q-grams, and its matches lie on diagonals (p
 the item) that differ by k at most.  So matches are counted in bands of 2(k+1) diagonals that overlap by half;
 bands that reach the bound are verified by banded alignment of the whole item against the region.
 
-The benchmark is held by every worker, in slices of at most ``SLICE_BYTES`` folded bytes (its size is summed
-first; a larger benchmark takes more passes over the documents).  Null texts have no matches, null items and
-items with fewer than ``SHORTEST`` folded bytes match nothing.  Repeated items are matched each on its own.
+An item shorter than ``SHORTEST`` folded bytes would allow edits that make another item of it: it has to stand
+unchanged between word bounds.  Items of fewer than ``Q`` folded bytes (a yes, a number) have no q-gram, are
+no evidence of a leak, and match nothing.
+
+The benchmark is held by every worker, in slices of about ``SLICE_BYTES`` bytes of text, 24 bytes of index each
+(its size is summed first; a larger benchmark takes more passes over the documents, which carry their spans
+along, so the number of slices changes no row).  Matches of a text are expanded ``EXPANDED`` at a time and
+only their counts by band are held, so a q-gram that text and benchmark repeat takes time, not memory.
+
+Every row gives one row, also rows that share a doc_id and rows with a null doc_id.  Null texts have no
+matches, null items match nothing.  Repeated items are matched each on its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +30,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelake.llm.common import empty_if_null, map_arrow, slices, texts_of
+from citelake.llm.common import empty_if_null, map_arrow, texts_of
 
 Q = 8
 RATE = 0.1
 SHORTEST = 24
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
+EXPANDED = 1 << 20
 _MAP_BITS = 21
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _KEEP = np.array([c >= 0x80 or chr(c).isalnum() for c in range(256)])
@@ -58,7 +66,7 @@ def grams(folded: np.ndarray) -> np.ndarray:
 
 def budget(m: int, rate: float) -> int:
     """Edits allowed in an item of ``m`` folded bytes; never so many that the lemma demands no q-gram."""
-    return max(0, min(int(rate * m), (m - Q) // Q))
+    return max(0, min(int(rate * m), (m - Q) // Q)) if m >= SHORTEST else 0
 
 
 @dataclass
@@ -73,14 +81,34 @@ class BenchmarkIndex:
         self.needed = np.maximum(1, sizes - Q + 1 - self.edits * Q)
         each = [grams(np.frombuffer(x, np.uint8)) for x in self.items]
         keys = np.concatenate([np.zeros(0, np.uint64), *each])
-        item = np.repeat(np.arange(len(each)), [len(x) for x in each])
-        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(x)) for x in each)])
+        item = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each])
+        place = np.concatenate([np.zeros(0, np.int32), *(np.arange(len(x), dtype=np.int32) for x in each)])
         first = np.argsort(keys, kind="stable")
         self.item, self.place = item[first], place[first]
-        self.keys, self.begin, self.count = np.unique(keys[first], return_index=True, return_counts=True)
+        self.keys, begin, count = np.unique(keys[first], return_index=True, return_counts=True)
+        self.begin, self.count = begin.astype(np.int32), count.astype(np.int32)
         self.seen = np.zeros(1 << _MAP_BITS, bool)
         self.seen[(self.keys * _SPREAD) >> np.uint64(64 - _MAP_BITS)] = True
 
+    def band_counts(self, at: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """((item, band) rows in order, counts) of the matches of text places ``at`` with keys ``where``."""
+        ends = np.cumsum(self.count[where], dtype=np.int64)
+        rows, counts = np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
+        done = 0
+        while done < len(at):
+            base = ends[done - 1] if done else 0
+            upto = max(done + 1, int(np.searchsorted(ends, base + EXPANDED, side="right")))
+            n = self.count[where[done:upto]].astype(np.int64)
+            entry = np.repeat(self.begin[where[done:upto]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            item, diagonal = self.item[entry].astype(np.int64), np.repeat(at[done:upto], n) - self.place[entry]
+            band = np.floor_divide(diagonal, self.edits[item] + 1)
+            # a diagonal lies in the band that starts in its own half and in the one before
+            both = np.concatenate([rows, np.stack([np.tile(item, 2), np.concatenate([band, band - 1])])], axis=1)
+            rows, which = np.unique(both, axis=1, return_inverse=True)
+            counts = np.bincount(which.ravel(), np.concatenate([counts, np.ones(2 * len(item), np.int64)])).astype(np.int64)
+            done = upto
+        return rows, counts
+
     def matches(self, folded: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item number, start, end, edits) of the best occurrence in each run of bands that pass."""
         g = grams(folded)
@@ -92,14 +120,7 @@ class BenchmarkIndex:
         at, where = at[same], where[same]
         if not len(at):
             return []
-        n = self.count[where]
-        entry = np.repeat(self.begin[where] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item, diagonal = self.item[entry], np.repeat(at, n) - self.place[entry]
-        half = self.edits[item] + 1
-        band = np.floor_divide(diagonal, half)
-        # a diagonal lies in the band that starts in its own half and in the one before
-        both = np.stack([np.tile(item, 2), np.concatenate([band, band - 1])])
-        rows, counts = np.unique(both, axis=1, return_counts=True)
+        rows, counts = self.band_counts(at, where)
         passed = counts >= self.needed[rows[0]]
         out: list[tuple[int, int, int, int]] = []
         text = None
@@ -161,14 +182,14 @@ def align(item: bytes, region: bytes, k: int) -> tuple[int, int, int] | None:
 
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, rate: float, slice_bytes: int) -> Iterator[Broadcast]:
-    """The broadcast index of each slice of the benchmark, about ``slice_bytes`` each."""
+    """The broadcast index of each slice of the benchmark, about ``slice_bytes`` of text each."""
     own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = own.select(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     n = max(1, -(-total // slice_bytes))
     for k in range(n):
-        rows = own.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
+        rows = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         items = sorted((r["item_id"], fold(r["text"])[0].tobytes()) for r in rows)
-        items = [(i, x) for i, x in items if len(x) >= SHORTEST]
+        items = [(i, x) for i, x in items if len(x) >= Q]
         yield docs.sparkSession.sparkContext.broadcast(
             BenchmarkIndex(np.array([i for i, _ in items], np.int64), [x for _, x in items], rate)
         )
@@ -177,50 +198,50 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, rate: float, slice_bytes: in
 def contaminated_spans(
     docs: DataFrame, benchmark: DataFrame, rate: float = RATE, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
-    """doc_id and spans ``array<struct<item_id,start,end,edits>>`` (bytes of the lower-cased text) for every document."""
-    parts = [
-        map_arrow(docs.select("doc_id", empty_if_null()), _scanner(index), f"doc_id long, spans {SPANS}")
-        for index in _indexes(docs, benchmark, rate, slice_bytes)
-    ]
-    if len(parts) == 1:
-        return parts[0]
-    every = reduce(DataFrame.unionByName, parts)
-    return every.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    """doc_id and spans ``array<struct<item_id,start,end,edits>>`` (bytes of the lower-cased text), a row for each row."""
+    out = docs.select("doc_id", empty_if_null(), F.array().cast(SPANS).alias("spans"))
+    for index in _indexes(docs, benchmark, rate, slice_bytes):
+        out = map_arrow(out, _scanner(index), out.schema)
+    return out.select("doc_id", F.array_sort("spans").alias("spans"))
 
 
 SPANS = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
 _KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
 
 
+def _at_word_bounds(raw: bytes, start: int, end: int) -> bool:
+    return not (start and _KEEP[raw[start - 1]]) and not (end < len(raw) and _KEEP[raw[end]])
+
+
 def spans_of(text: str, index: BenchmarkIndex) -> list[dict]:
     folded, at = fold(text)
-    if len(folded) < SHORTEST or not len(index.keys):
+    if len(folded) < Q or not len(index.keys):
         return []
     found = [
-        {"item_id": int(index.ids[j]), "start": int(at[min(a, len(at) - 1)]), "end": int(at[b - 1]) + 1, "edits": e}
+        {"item_id": int(index.ids[j]), "start": int(at[min(a, len(at) - 1)]), "end": int(at[b - 1]) + 1, "edits": e, "short": index.sizes[j] < SHORTEST}
         for j, a, b, e in index.matches(folded)
     ]
-    return sorted(found, key=lambda x: (x["item_id"], x["start"], x["end"], x["edits"]))
+    if any(s["short"] for s in found):
+        raw = _lowered(text).encode("utf-8", "replace")
+        found = [s for s in found if not s["short"] or _at_word_bounds(raw, s["start"], s["end"])]
+    return [{k: s[k] for k in ("item_id", "start", "end", "edits")} for s in found]
 
 
 def _scanner(index):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [spans_of(t, index.value) for t in texts_of(batch)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, _KIND)], names=["doc_id", "spans"])
+        found = [a + b for a, b in zip(batch.column("spans").to_pylist(), found, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(found, _KIND)], names=["doc_id", "text", "spans"])
 
     return run
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item occurs; null texts stay."""
-    for index in _indexes(docs, benchmark, rate, SLICE_BYTES):
-        docs = docs.mapInArrow(_keeper(index), docs.schema)
+    for index in _indexes(docs, benchmark, rate, slice_bytes):
+        docs = map_arrow(docs, _keeper(index), docs.schema)
     return docs
 
 
 def _keeper(index):
-    def run(batches):
-        for batch in slices(batches):
-            yield batch.filter(pa.array([not spans_of(t, index.value) for t in texts_of(batch)]))
-
-    return run
+    return lambda batch: batch.filter(pa.array([not spans_of(t, index.value) for t in texts_of(batch)]))

@@ -10,8 +10,9 @@ largest proportion, which is also the score.
 ``und`` with score 0 is given where the text is null or has no letter.  Ties go to the language that comes
 first in sorted order.  Whole texts are read, every row is kept.
 
-Training reads the texts of at most ``per_language`` documents of each language (those with the smallest
-hash of doc_id), a documented bound; n-gram counts come back as at most ``BUCKETS`` numbers a language.
+Training reads the texts of about ``per_language`` documents of each language, a documented bound: those whose
+hash of doc_id and text lies in the first ``per_language``/n of its range, n being the language's documents, so
+nothing is sorted or ranked.  n-gram counts come back as at most ``BUCKETS`` numbers a language.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from citelake.llm.common import map_arrow
+from citelake.llm.common import map_arrow, quoted, schema_of
 
 GRAM = 4
 BITS = 18
@@ -58,14 +58,15 @@ def buckets_of(text: str) -> np.ndarray:
 def train(docs: DataFrame, learn: Column, per_language: int = 1000) -> LanguageModel:
     """Learn from text and lang of the rows where ``learn`` holds and both are non-null."""
     own = docs.select("doc_id", "text", "lang", learn.alias("learn")).where("learn and lang is not null and text is not null")
-    by_hash = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = own.select("doc_id", "lang").withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= per_language)
-    languages = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())
+    sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32))
-    ids = [(r["doc_id"], r["lang"]) for r in chosen.select("doc_id", "lang").collect()]  # per_language a language at most
-    listed = docs.sparkSession.createDataFrame(ids, "doc_id long, lang string").distinct()
-    texts = own.select("doc_id", "lang", "text").join(F.broadcast(listed), ["doc_id", "lang"], "left_semi")
+    place = {lang: k for k, lang in enumerate(languages)}
+    most = [-(1 << 63) + min((1 << 64) - 1, (per_language << 64) // sizes[lang]) for lang in languages]
+    bounds = docs.sparkSession.createDataFrame(list(zip(languages, most, strict=True)), "lang string, most long")
+    texts = own.select("lang", "text", F.xxhash64("doc_id", "text").alias("mark")).join(F.broadcast(bounds), "lang")  # one row a language
+    texts = texts.where("mark <= most").select("lang", "text")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         sums: dict[str, np.ndarray] = {}
@@ -86,7 +87,6 @@ def train(docs: DataFrame, learn: Column, per_language: int = 1000) -> LanguageM
     counted = map_arrow(texts, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counted.toArrow()
     counts = np.zeros((BUCKETS, len(languages)))
-    place = {lang: k for k, lang in enumerate(languages)}
     which = np.array([place[x] for x in table["lang"].to_pylist()], np.int64)
     counts[table["bucket"].to_numpy(), which] = table["n"].to_numpy()
     smooth = counts + 0.05
@@ -183,6 +183,5 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
             names=[*keep, "lang_pred", "score", "languages"],
         )
 
-    own = docs.select(*keep, "text")
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return map_arrow(own, run, f"{kept}, lang_pred string, score double, languages array<string>")
+    own = docs.select(*map(quoted, dict.fromkeys([*keep, "text"])))
+    return map_arrow(own, run, schema_of(own, keep, "lang_pred string, score double, languages array<string>"))

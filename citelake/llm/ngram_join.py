@@ -9,9 +9,13 @@ under any global order of tokens share one; so
 2. pairs must also share first tokens under further orders (other hashes) - the filters are intersected;
 3. what is left is verified on the whole sets, and linked classes are joined to components;
 4. lists that still hold more than one component are tested completely across components, with the positions
-   in the index's order bounding the overlap: short lists (``SHORT_LIST``) by pairs (steps 2, 3), longer ones
-   in blocks of about ``LIST_BLOCK`` classes and ``LIST_TOKENS`` tokens, each a group that counts all overlaps at once and gives back only links
-   that join components.  So no group of copies is expanded into its pairs, and no component is lost.
+   in the index's order bounding the overlap and the filters of the further orders before each verification:
+   short lists (``SHORT_LIST``) by pairs (steps 2, 3), longer ones in blocks of about ``LIST_BLOCK`` classes and
+   ``LIST_TOKENS`` tokens, each a group that gives back only links that join components.  So no group of copies is
+   expanded into its pairs, and no component is lost.
+
+What a list needs to know of all its members (its first class, its size) is a minimum or a sum combined before the
+shuffle and an equi-join, which adaptive execution splits where a token is hot; no list goes through one task.
 
 How rare a shingle is only shapes the order, which any fixed numbers do correctly: every task reports, for some
 ``REPORT_TOKENS`` shingles at a time, those that occur in at least ``OFTEN`` different sets, the reports are summed over all documents,
@@ -20,7 +24,9 @@ and the ``MOST_LEVELS`` most frequent ones are held by all workers.
 Words are runs of other characters than space, tab, line feed, vertical tab, form feed and carriage return,
 with A-Z lower-cased.  A document with fewer words than a shingle has its whole sequence as its one shingle;
 without words its set is empty and it links with nothing.  Nulls in the text count as empty.  Rows with a
-null doc_id take no part and get a null component.  Shingles are compared by 64-bit hashes.
+null doc_id take no part and get a null component.  Rows that share a doc_id count each by its own text: they can
+belong to different components, which then may have the same smallest doc_id and differ in ``component``.  Texts of
+any length go through in blocks.  Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,9 +38,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from citelake.llm.common import empty_if_null, map_arrow, slices, small_batches, stage
+from citelake.llm.common import empty_if_null, free_name, map_arrow, quoted, slices, small_batches, stage, unstage
 from citelake.llm.components import components
 
 WORDS = 5
@@ -164,9 +169,15 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
         n = np.diff(edge)
         return tokens[edge[:-1]][n >= OFTEN].astype(np.int64), n[n >= OFTEN]
 
-    def rows(ids: pa.Array, n: np.ndarray, digests: np.ndarray, is_shingle: bool) -> pa.RecordBatch:
+    def rows(ids: pa.Array, marks: pa.Array, n: np.ndarray, digests: np.ndarray, is_shingle: bool) -> pa.RecordBatch:
         kinds = pa.array(np.full(len(n), is_shingle))
-        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests, pa.int64()), kinds], names=["doc_id", "n", "digest", "is_shingle"])
+        return pa.RecordBatch.from_arrays(
+            [ids, marks, pa.array(n, pa.int64()), pa.array(digests, pa.int64()), kinds], names=["doc_id", "text_mark", "n", "digest", "is_shingle"]
+        )
+
+    def reported(pool: list[np.ndarray]) -> pa.RecordBatch:
+        which, n = report(pool)
+        return rows(pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64()), n, which, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -181,17 +192,16 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     seen.add(digests[-1])
                     pool.append(s)
                     held += len(s)
-            yield rows(batch.column("doc_id"), np.array(sizes, np.int64), np.array(digests, np.int64), False)
+            yield rows(batch.column("doc_id"), batch.column("text_mark"), np.array(sizes, np.int64), np.array(digests, np.int64), False)
             if held >= REPORT_TOKENS:
-                which, n = report(pool)
-                yield rows(pa.nulls(len(n), pa.int64()), n, which, True)
+                yield reported(pool)
                 seen, pool, held = set(), [], 0
         if pool:
-            which, n = report(pool)
-            yield rows(pa.nulls(len(n), pa.int64()), n, which, True)
+            yield reported(pool)
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", empty_if_null()).mapInArrow(run, "doc_id long, n long, digest long, is_shingle boolean")
+    own = docs.select("doc_id", empty_if_null()).withColumn("text_mark", F.xxhash64("text"))
+    return own.mapInArrow(run, "doc_id long, text_mark long, n long, digest long, is_shingle boolean")
 
 
 def frequency_levels(reports: DataFrame) -> Levels:
@@ -290,7 +300,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return map_arrow(rows.join(u, "u").join(v, "v"), kept(test), "u long, v long")
 
     short = map_arrow(sets, shorten, "cls long, tokens binary")
-    left = stage(meet(pairs, short, lambda a, b: _shared(a, b) > 0))
+    left = stage(meet(pairs, short, lambda a, b: _shared(a, b) > 0))  # goes with the session: a lost task reads it again
     return meet(left, sets, lambda a, b: passes_filters(a, b, percent, late) and similar(a, b, percent))
 
 
@@ -300,13 +310,18 @@ def _able(n: Column, m: Column, n_pos: Column, m_pos: Column, percent: int) -> C
     return sizes & (F.least(n - n_pos, m - m_pos) * (100 + percent) >= percent * (n + m))
 
 
+def _of_lists(rows: DataFrame, **values: Column) -> DataFrame:
+    """``rows`` with values of their whole lists: combined before the shuffle, then an equi-join."""
+    return rows.join(rows.groupBy("token").agg(*(v.alias(k) for k, v in values.items())), "token")
+
+
 def linked_classes(docs: DataFrame, first: DataFrame, levels: Levels, words: int, percent: int) -> DataFrame:
     """Links (u, v) between classes that connect all classes that similarity connects; ``first``: (cls, doc_id)."""
     spark = docs.sparkSession
     index = index_rows(docs, spark.sparkContext.broadcast(levels), words, percent)
-    whole = W.partitionBy("token")
-    index = index.withColumn("head", F.min(F.struct("cls", "n", "pos")).over(whole)).withColumn("last", F.max("cls").over(whole))
-    lists = stage(index.where(F.col("head.cls") < F.col("last")).select("token", "cls", "n", "pos", "head").distinct())
+    heads = index.groupBy("token").agg(F.min(F.struct("cls", "n", "pos")).alias("head"), F.max("cls").alias("last"))
+    heads = stage(heads.where(F.col("head.cls") < F.col("last")).drop("last"))
+    lists = stage(index.join(heads, "token"))
 
     able = _able(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos"), percent)
     stars = lists.where((F.col("cls") != F.col("head.cls")) & able)
@@ -316,14 +331,16 @@ def linked_classes(docs: DataFrame, first: DataFrame, levels: Levels, words: int
 
     # lists that the links so far leave in more than one component, without rows that no partner's size suits
     roots = components(links)
-    placed = lists.drop("head").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = F.greatest(F.min("n").over(whole), F.ceil(F.col("n") * percent / 100))
-    placed = placed.withColumn("least", least)
-    placed = placed.where((F.col("n") - F.col("pos")) * (100 + percent) >= percent * (F.col("n") + F.col("least"))).drop("least")
-    span = {"size": F.count("*").over(whole), "tokens_in": F.sum("n").over(whole), "members": F.bit_xor(F.xxhash64("cls")).over(whole), "low": F.min("root").over(whole), "high": F.max("root").over(whole)}
-    placed = stage(placed.withColumns(span).where("low < high").select("token", "cls", "n", "pos", "root", "size", "tokens_in", "members"))
-
-    short = placed.where(F.col("size") <= SHORT_LIST)
+    rooted = lists.drop("head").distinct().join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rooted = stage(rooted)
+    placed = _of_lists(rooted, low_n=F.min("n"))
+    least = F.greatest(F.col("low_n"), F.ceil(F.col("n") * percent / 100))
+    placed = placed.where((F.col("n") - F.col("pos")) * (100 + percent) >= percent * (F.col("n") + least)).drop("low_n")
+    span = {"size": F.count("*"), "tokens_in": F.sum("n"), "members": F.bit_xor(F.xxhash64("cls")), "low": F.min("root"), "high": F.max("root")}
+    several = stage(_of_lists(placed, **span).where("low < high").drop("low", "high"))
+    unstage(heads, lists, rooted, roots)
+
+    short = several.where(F.col("size") <= SHORT_LIST)
     a, b = (short.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "root"))) for s in "uv")
     cross = a.join(b, "token").where(
         (F.col("cls_u") < F.col("cls_v"))
@@ -333,13 +350,18 @@ def linked_classes(docs: DataFrame, first: DataFrame, levels: Levels, words: int
     cross = cross.select(F.col("cls_u").alias("u"), F.col("cls_v").alias("v")).distinct()
     cross = stage(cross.join(stars, ["u", "v"], "left_anti"))
     # of long lists with the same members one is enough, as it is tested completely
-    long = placed.where(F.col("size") > SHORT_LIST)
+    long = several.where(F.col("size") > SHORT_LIST)
     long = long.join(long.groupBy("size", "members").agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
     more = _members(cross).unionByName(long.select("cls")).distinct()
-    sets = sets.unionByName(stage(class_sets(docs, more.join(sets.select("cls"), "cls", "left_anti").join(first, "cls"), words)))
+    rest = stage(class_sets(docs, more.join(sets.select("cls"), "cls", "left_anti").join(first, "cls"), words))
+    every = sets.unionByName(rest)
     # one after the other, so that what one step shuffled is free before the next
-    by_pairs = stage(verified(cross, sets, percent))
-    return links.unionByName(by_pairs).unionByName(stage(block_links(long, sets, percent)))
+    by_pairs = stage(verified(cross, every, percent))
+    by_blocks = stage(block_links(long, every, percent))
+    unstage(stars, sets, several, cross, rest)
+    out = links.unionByName(by_pairs).unionByName(by_blocks)
+    out.staged_paths = [*links.staged_paths, *by_pairs.staged_paths, *by_blocks.staged_paths]
+    return out
 
 
 def block_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -361,54 +383,105 @@ def block_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.join(sets, "cls").groupBy("token", "i", "j").applyInArrow(run, "u long, v long")
 
 
+class Overlaps:
+    """Sizes of intersections among sets, counted for many pairs at once over ``columns`` tokens at a time."""
+
+    def __init__(self, sets: list[np.ndarray], columns: int):
+        sizes = [len(s) for s in sets]
+        _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times[number] > 1  # a token of one set adds to no overlap
+        column = np.cumsum(times > 1)[number[shared]] - 1
+        order = np.argsort(column, kind="stable")
+        self.owner, self.column = np.repeat(np.arange(len(sets)), sizes)[shared][order], column[order]
+        self.n, self.columns = len(sets), columns
+        self.bounds = np.searchsorted(self.column, np.arange(0, int((times > 1).sum()) + columns, columns))
+
+    def counts(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), len(others)), np.float32)
+        for k, (p, q) in enumerate(zip(self.bounds[:-1], self.bounds[1:], strict=True)):
+            held = np.zeros((self.n, self.columns), np.float32)
+            held[self.owner[p:q], self.column[p:q] - k * self.columns] = 1
+            out += held[rows] @ held[others].T
+        return out
+
+
 def join_roots(sets: list[np.ndarray], roots: np.ndarray, percent: int, rows: int = 256, columns: int = 2048) -> list[tuple[int, int]]:
     """Similar pairs that join different roots, enough to connect what similarity connects.
 
-    Overlaps of ``rows`` sets with all others are counted at once, over ``columns`` tokens at a time.
+    ``rows`` sets are held against all others at once: first by the filters of the further orders, one after the
+    other; only sets with a partner that passes all of them are verified.
     """
     sizes = np.array([len(s) for s in sets])
-    tokens, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    shared = times[number] > 1  # a token of one set adds to no overlap
-    column = np.cumsum(times > 1)[number[shared]] - 1
-    owner, width = owner[shared], int((times > 1).sum())
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    bounds = np.searchsorted(column, np.arange(0, width + columns, columns))
+    filters = [Overlaps([further_prefix(s, salt, percent) for s in sets], columns) for salt in FURTHER_ORDERS]
+    whole = Overlaps(sets, columns)
     label = np.unique(roots, return_inverse=True)[1]
     out: list[tuple[int, int]] = []
     for at in range(0, len(sets), rows):
-        mine = slice(at, min(at + rows, len(sets)))
         if (label == label[0]).all():
             break
-        overlap = np.zeros((mine.stop - at, len(sets)), np.float32)
-        for k, (p, q) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            held = np.zeros((len(sets), columns), np.float32)
-            held[owner[p:q], column[p:q] - k * columns] = 1
-            overlap += held[mine] @ held.T
-        alike = 100 * overlap >= percent * (sizes[mine, None] + sizes[None] - overlap)
-        for x in range(at, mine.stop):
-            near = np.flatnonzero(alike[x - at] & (label != label[x]))
-            for y in near.tolist():
+        mine, others = np.arange(at, min(at + rows, len(sets))), np.arange(len(sets))
+        able = label[mine][:, None] != label[None]
+        for test in filters:
+            mine, others, able = _left(mine, others, able)
+            if len(mine):
+                able &= test.counts(mine, others) > 0
+        mine, others, able = _left(mine, others, able)
+        if not len(mine):
+            continue
+        overlap = whole.counts(mine, others)
+        alike = able & (100 * overlap >= percent * (sizes[mine][:, None] + sizes[others][None] - overlap))
+        for x, near in zip(mine.tolist(), alike, strict=True):
+            for y in others[near].tolist():
                 if label[y] != label[x]:
                     out.append((x, y))
                     label[label == label[y]] = label[x]
     return out
 
 
+def _left(rows: np.ndarray, others: np.ndarray, able: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows and others that still have a pair, and their part of the matrix."""
+    r, o = np.flatnonzero(able.any(1)), np.flatnonzero(able.any(0))
+    return rows[r], others[o], able[np.ix_(r, o)]
+
+
 def _members(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) for every row of ``docs``."""
+    """For every row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that links reach), component
+    (a number that no other component has; null without shingles or doc_id) and text_mark (xxhash64 of the text)."""
     docs = docs.select("doc_id", "text")
     reports = stage(document_sets(docs, words))
-    each = reports.where("not is_shingle").select("doc_id", F.col("n").alias("n_shingles"), F.col("digest").alias("cls"))
+    each = reports.where("not is_shingle").select("doc_id", "text_mark", F.col("n").alias("n_shingles"), F.col("digest").alias("cls"))
     first = stage(each.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
     links = linked_classes(docs, first, frequency_levels(reports), words, percent)
-    joined = first.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = joined.groupBy("root").agg(F.min("doc_id").alias("component"))
-    of_class = joined.join(least, "root").select("cls", "component")
-    alone = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return each.join(of_class, "cls", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
+    rooted = components(links)
+    joined = first.join(rooted.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = joined.groupBy("root").agg(F.min("doc_id").alias("least"))
+    of_class = stage(joined.join(least, "root").select("cls", "root", "least"))
+    unstage(first, links, rooted)
+    able = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")))
+    return each.join(of_class, "cls", "left").select(
+        "doc_id", "n_shingles", own.alias("component_id"), F.when(able, F.col("root")).alias("component"), "text_mark"
+    )
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` with one row of each component: that with the smallest doc_id, then text mark.
+
+    Rows are told apart by doc_id and text: rows that share a doc_id are decided each by its own text; of rows that
+    share both, one stays.  Rows without words or without a doc_id stay, all of them.
+    """
+    mark, nth, names = free_name("text_mark", docs.columns), free_name("row_mark", docs.columns), docs.columns
+    found = similar_documents(docs, words, percent)
+    kept = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_mark")).alias("k"))
+    kept = kept.select("k.doc_id", F.col("k.text_mark").alias(mark)).distinct()
+    marked = docs.withColumn(mark, F.xxhash64(empty_if_null()))
+    alike = marked.where("doc_id is not null").join(kept, ["doc_id", mark], "left_semi")
+    # of equal (doc_id, text) the row with the smallest hash of all its columns, whichever task reads it
+    row = F.struct(*(quoted(c) for c in names))
+    one = alike.groupBy("doc_id", mark).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(nth)).select(f"{nth}.*")
+    wordless = empty_if_null().rlike(r"^[\x20\x09-\x0D]*$")
+    return one.unionByName(docs.where(F.col("doc_id").isNull() | wordless))

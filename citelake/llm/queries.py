@@ -9,12 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citelake.llm import chunk_dedup, decontaminate, language_id, ngram_join, piece_codec, secret_scan, suffix_dedup, token_count, toxicity, vantage_ann
-from citelake.llm.common import empty_if_null, map_arrow, texts_of
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -32,27 +30,17 @@ def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the base patterns, a digest of their spans, and all spans in order."""
+    found = secret_scan.scan_documents(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        enc = secret_scan.vocabulary(RANKS, PATTERN)
-        n, sums, spans, extra = ([], [], []), [], [], []
-        for text in texts_of(batch):
-            base = secret_scan.base_spans(text)
-            more = secret_scan.random_spans(text, enc, base)
-            for k in range(3):
-                n[k].append(sum(x[1] == k for x in base))
-            sums.append(secret_scan.digest(base))
-            spans.append(secret_scan.shown(sorted(base + more)))
-            extra.append(len(more))
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in n), pa.array(sums, pa.string()), pa.array(spans, pa.string()), pa.array(extra, pa.int64())],
-            names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"],
-        )
+    def shown(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", empty_if_null())
-    return map_arrow(
-        docs, run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
-    )
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    counts = [count(kind).alias(f"n_{kind}") for kind in secret_scan.KINDS]
+    return found.select("doc_id", *counts[:3], F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"), counts[3])
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +55,7 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle counts and components of documents with 80 percent of their 5-word shingles in common."""
-    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents")).drop("text_mark")
 
 
 #: The chain of the toxicity classifier: earlier categories help later ones.

@@ -2,25 +2,27 @@
 
 A long unbroken string is taken as a secret when a byte-level BPE vocabulary spends many tokens on it:
 natural words and names need few tokens for their characters, random strings about one for every two.
-Strings that are random by design but no secrets are left out first: digests of the usual lengths,
-UUIDs, and identifiers made of words (``camelCase``, ``snake_case``, paths).
-
-Spans are in code points with an exclusive end.  Kinds, in their order: assign, access, hex (the base
-patterns, leftmost and non-overlapping for each kind) and random (the method's).  A string that a base
-span already covers is not reported as random again.  Nulls in the text count as empty; every row is kept.
+Strings that are random by design but no secrets are left out first: whole digests of the usual lengths, whole
+UUIDs (what else a string holds beside them is tested by itself), and identifiers: numbers, and names whose
+parts are words (``camelCase``, ``snake_case``, paths).  A part is a word if the vocabulary itself needs few
+tokens for it, so the token ratio decides about everything else, with or without digits.
+
+Spans are in code points with an exclusive end, in order of start, then kind, then end.  Kinds, in their order:
+assign, access, hex (the base patterns, leftmost and non-overlapping for each kind) and random (the method's).
+A string that a base span touches is not reported as random again.  Nulls in the text count as empty; every row
+is kept, repeated rows and rows without a doc_id too.  Whole texts are read, of any length.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from citelake.llm.common import empty_if_null, map_arrow, slices, texts_of
+from citelake.llm.common import empty_if_null, map_arrow, schema_of, texts_of
 
 KINDS = ("assign", "access", "hex", "random")
 # The base patterns.
@@ -30,16 +32,20 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # a run of 16 or more characters; shorter runs hold no longer match
 HEX = re.compile(r"[0-9a-f]{32,}")  # likewise
 NAMES = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
-#: Strings that the token-efficiency test looks at: at least this long, and with a digit and a letter.
-LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Characters that make up the strings which the token-efficiency test looks at, and how many it takes at least:
+#: shorter strings hold too few tokens for a ratio to mean anything.
+STRING, SHORTEST = r"[A-Za-z0-9+/_=-]", 20
 #: Characters for each token at and below which a string counts as random.
 MOST_CHARS_PER_TOKEN = 2.2
+#: Characters for each token from which a part of a name counts as a word.
+WORD_CHARS_PER_TOKEN = 3.0
 #: Digest lengths in hex: CRC to SHA-512; a hex string of such a length is a known digest.
 DIGEST_CHARS = (32, 40, 48, 56, 64, 96, 128)
-UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+UUID = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Fa-f])")
 HEXADECIMAL = re.compile(r"[0-9A-Fa-f]+")
-#: Word-like parts of identifiers: three letters or more in one case, or capitalised.
-WORD = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")
+NUMBER = re.compile(r"[0-9+/_=-]+")
+#: Parts of names: letters in one case, or capitalised.
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @lru_cache(maxsize=2)
@@ -51,13 +57,15 @@ def vocabulary(ranks_path: str, pattern: str):
     return tiktoken.Encoding("citelake", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_known(string: str) -> bool:
-    """Digests and UUIDs, and identifiers: strings that words cover for the most part."""
-    if HEXADECIMAL.fullmatch(string) and len(string) in DIGEST_CHARS or UUID.search(string):
+def is_known(string: str, encoding) -> bool:
+    """Digests, numbers, and identifiers: names that words of the vocabulary cover for the most part."""
+    if HEXADECIMAL.fullmatch(string) and len(string) in DIGEST_CHARS or NUMBER.fullmatch(string):
         return True
-    if not re.search(r"[0-9]", string) or not re.search(r"[A-Za-z]", string):
-        return True  # only digits, only letters: numbers, rulers, long words
-    return sum(len(w) for w in WORD.findall(string)) >= 0.7 * len(string)
+    parts = [w for w in PART.findall(string) if len(w) >= 3]
+    if sum(map(len, parts)) < 0.7 * len(string):
+        return False
+    words = sum(len(w) for w in parts if len(w) >= WORD_CHARS_PER_TOKEN * len(encoding.encode_ordinary(w)))
+    return words >= 0.7 * len(string)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -72,37 +80,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def random_spans(text: str, encoding, taken: list[tuple[int, int, int]], most: float = MOST_CHARS_PER_TOKEN):
+@lru_cache(maxsize=8)
+def _strings(shortest: int) -> re.Pattern:
+    return re.compile(f"{STRING}{{{shortest},}}")
+
+
+def random_spans(
+    text: str, encoding, taken: list[tuple[int, int, int]], most: float = MOST_CHARS_PER_TOKEN, shortest: int = SHORTEST
+) -> list[tuple[int, int, int]]:
     """Spans of strings that the vocabulary is inefficient on, outside ``taken``."""
     out = []
-    for m in LONG.finditer(text):
-        string = m[0]
-        if is_known(string) or any(a < m.end() and m.start() < b for a, _, b in taken):
-            continue
-        if len(string) <= most * len(encoding.encode_ordinary(string)):
-            out.append((m.start(), 3, m.end()))
+    for m in _strings(shortest).finditer(text):
+        edges = [m.start(), *(x for u in UUID.finditer(text, m.start(), m.end()) for x in u.span()), m.end()]
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
+            string = text[a:b]
+            if b - a < shortest or is_known(string, encoding) or any(x < b and a < y for x, _, y in taken):
+                continue
+            if b - a <= most * len(encoding.encode_ordinary(string)):
+                out.append((a, 3, b))
     return out
 
 
-def shown(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+def spans_of(text: str, encoding, most: float = MOST_CHARS_PER_TOKEN, shortest: int = SHORTEST) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of every span, in order."""
+    base = base_spans(text)
+    return sorted(base + random_spans(text, encoding, base, most, shortest))
 
 
-def scan_documents(docs: DataFrame, ranks_path: str, pattern: str, most: float = MOST_CHARS_PER_TOKEN) -> DataFrame:
+def scan_documents(
+    docs: DataFrame, ranks_path: str, pattern: str, most: float = MOST_CHARS_PER_TOKEN, shortest: int = SHORTEST
+) -> DataFrame:
     """doc_id, spans ``array<struct<kind,start,end>>`` by start, then kind."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = vocabulary(ranks_path, pattern)
-        found = []
-        for text in texts_of(batch):
-            base = base_spans(text)
-            found.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base + random_spans(text, enc, base, most))])
+        found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans_of(t, enc, most, shortest)] for t in texts_of(batch)]
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "spans"])
 
-    return map_arrow(
-        docs.select("doc_id", empty_if_null()), run, "doc_id long, spans array<struct<kind:string,start:int,end:int>>"
-    )
+    own = docs.select("doc_id", empty_if_null())
+    return map_arrow(own, run, schema_of(own, ["doc_id"], "spans array<struct<kind:string,start:int,end:int>>"))
 
 
 def mask(text: str, spans: list[tuple[int, int, int]], by: str = "[SECRET]") -> str:
@@ -115,26 +132,18 @@ def mask(text: str, spans: list[tuple[int, int, int]], by: str = "[SECRET]") ->
     return "".join([*out, text[at:]])
 
 
-def masked_documents(docs: DataFrame, ranks_path: str, pattern: str, most: float = MOST_CHARS_PER_TOKEN) -> DataFrame:
+def masked_documents(
+    docs: DataFrame, ranks_path: str, pattern: str, most: float = MOST_CHARS_PER_TOKEN, shortest: int = SHORTEST
+) -> DataFrame:
     """The rows of ``docs`` with secrets replaced in ``text``; a null text stays null, ``n_chars`` follows the text."""
     names = docs.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = vocabulary(ranks_path, pattern)
-        out = []
-        for text in batch.column("text").to_pylist():
-            if text:
-                base = base_spans(text)
-                if spans := base + random_spans(text, enc, base, most):
-                    text = mask(text, spans)
-            out.append(text)
+        out = [mask(t, spans_of(t, enc, most, shortest)) if t else t for t in batch.column("text").to_pylist()]
         at = {"text": pa.array(out, pa.string())}
         if "n_chars" in names:
             at["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64())
         return pa.RecordBatch.from_arrays([at.get(n, batch.column(i)) for i, n in enumerate(names)], names=names)
 
-    return docs.mapInArrow(lambda batches: map(run, slices(batches)), docs.schema)
-
-
-def digest(spans: list[tuple[int, int, int]]) -> str:
-    return hashlib.sha256(shown(spans).encode()).hexdigest()
+    return map_arrow(docs, run, docs.schema)

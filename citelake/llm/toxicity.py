@@ -17,7 +17,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelake.llm.common import map_arrow, slices
+from citelake.llm.common import map_arrow, quoted, schema_of
 
 SAMPLE = 4000
 FOLDS = 5
@@ -280,18 +279,16 @@ def score(docs: DataFrame, chain: ToxicityChain, keep: list[str]) -> DataFrame:
             names=[*keep, *(f"p_{c}" for c in chain.categories)],
         )
 
-    own = docs.select(*dict.fromkeys([*keep, "text"]))
-    kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_arrow(own, run, f"{kept}, " + ", ".join(f"p_{c} double" for c in chain.categories))
+    own = docs.select(*map(quoted, dict.fromkeys([*keep, "text"])))
+    return map_arrow(own, run, schema_of(own, keep, ", ".join(f"p_{c} double" for c in chain.categories)))
 
 
 def without(docs: DataFrame, chain: ToxicityChain, category: str, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose probability of ``category`` is below ``threshold``."""
     sent, at = docs.sparkSession.sparkContext.broadcast(chain), chain.categories.index(category)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            p = sent.value.probabilities(batch.column("text").to_pylist())
-            yield batch.filter(pa.array(p[:, at] < threshold))
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        p = sent.value.probabilities(batch.column("text").to_pylist())
+        return batch.filter(pa.array(p[:, at] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

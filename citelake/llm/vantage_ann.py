@@ -167,7 +167,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, factor: float, shard_r
     shards = max(1, -(-vectors.select("vec_id").count() // shard_rows))
     index = own.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "vec")
     asked = own.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "vec")
-    dealt = index.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
+    # one shard a task: the shard's number is the partition's
+    dealt = index.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, ids, vecs, trees = None, [], [], None

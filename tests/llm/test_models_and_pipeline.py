@@ -84,8 +84,8 @@ def test_op5_query_and_slices(spark, tmp_path):
     got = {r["doc_id"]: (r["contaminated"], [int(i) for i in r["items"].split(",") if i]) for r in queries.op5_decontaminate(spark, str(tmp_path)).collect()}
     assert got == {1: (True, [3]), 2: (False, []), 3: (False, []), 4: (False, []), 5: (True, [1, 2]), None: (True, [0])}
     own, benchmark = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet")
-    sliced = decontaminate.contaminated_spans(own, benchmark, slice_bytes=400).collect()
-    assert {r["doc_id"]: sorted({s["item_id"] for s in r["spans"]}) for r in sliced} == {k: v for k, (_, v) in got.items()}
+    sliced = decontaminate.contaminated_spans(own, benchmark, slice_bytes=400)
+    assert sorted(map(str, sliced.collect())) == sorted(map(str, decontaminate.contaminated_spans(own, benchmark).collect()))
     clean = decontaminate.clean_documents(own, benchmark)
     assert clean.columns == own.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 3, 4]
     assert decontaminate.clean_documents(own, benchmark.limit(0)).count() == 7
