@@ -3,13 +3,15 @@
 Five stages, each on all that its predecessor kept, written as Parquet and read again in between:
 
 1. toxicity - documents that the classifier chain rejects go;
-2. near duplicates - of each component of the n-gram join the document with the smallest doc_id stays;
+2. near duplicates - of each component of the n-gram join the document with the smallest doc_id stays; rows that
+   share a doc_id are decided each by its own text, of rows that share both one stays;
 3. decontamination - documents that hold a benchmark item go;
 4. secrets - found secrets are masked in the text, the documents stay;
 5. tokens - SentencePiece ids of each text, with the check that decoding gives the text back.
 
-Null and empty texts pass every stage.  Rows with a null doc_id stay; rows that share a doc_id count as one
-document, of which stage 2 keeps the row with the smallest text.
+Null and empty texts pass every stage, and rows with a null doc_id stay, all of them, unless the toxicity or the
+benchmark stage finds something in their text.  Empty tables give empty tables; without labels nothing is toxic,
+without benchmark items nothing is contaminated.  Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -17,12 +19,9 @@ from __future__ import annotations
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-from pyspark.sql.types import ArrayType, IntegerType
 
 from citelake.llm import decontaminate, ngram_join, piece_codec, secret_scan, toxicity
-from citelake.llm.common import free_name, slices, stage
+from citelake.llm.common import map_arrow, quoted, schema_of, stage, unstage
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -35,12 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.similar_documents(docs)
-    chosen = found.where("doc_id = component_id").select("doc_id").distinct()
-    ordered = W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    place = free_name("place", docs.columns)
-    kept = docs.join(chosen, "doc_id", "left_semi").withColumn(place, F.row_number().over(ordered)).where(F.col(place) == 1)
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return ngram_join.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,8 +62,8 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
             names=[*names, "n_tokens", "ids", "round_trip"],
         )
 
-    kept = docs.select(*names).schema.add("n_tokens", "long").add("ids", ArrayType(IntegerType())).add("round_trip", "boolean")
-    return docs.mapInArrow(lambda batches: map(run, slices(batches)), kept)
+    own = docs.select(*map(quoted, names), "text")
+    return map_arrow(own, run, schema_of(docs, names, "n_tokens long, ids array<int>, round_trip boolean"))
 
 
 STAGES = [
@@ -85,7 +79,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir))
+        if before is not None:
+            unstage(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
