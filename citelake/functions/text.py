@@ -17,10 +17,15 @@ STOP_WORDS = tuple(
 SUFFIXES = ("ational", "ization", "iveness", "ing", "edly", "ies", "ied", "ess", "ed", "es", "s")
 # Words that do not count in titles.
 TITLE_STOP_WORDS = ("the", "and", "for", "with", "from", "into", "using")
+# Printed forms of identifiers, and openings of publishers' boilerplate.
 DOI = r"(?i)\b10\.\d{4,9}/[-._;()/:A-Za-z0-9]*[A-Za-z0-9]"
 ARXIV = r"(?i)arXiv[:\s]*(\d{4}\.\d{4,5}(?:v\d+)?|[a-z\-]+(?:\.[A-Z]{2})?/\d{7})"
 URL = r"(?i)https?://[^\s,;>\])]+"
 PMID = r"(?i)\bPMID[:\s]+(\d{6,9})"
+BOILERPLATE = (
+    r"(?i)publisher'?[’']?s?\s+note|remains\s+neutral\s+with\s+regard|springer\s+nature\s+remains|"
+    r"open\s+access\s+this\s+article\s+is\s+licensed|creative\s+commons\s+attribution|all\s+rights\s+reserved"
+)
 
 
 def stem(word: Column) -> Column:
@@ -115,11 +120,7 @@ def tidy_entry(raw: Column) -> Column:
 
 def without_boilerplate(raw: Column) -> Column:
     """The entry up to a publisher's note or licence text."""
-    # Openings of publishers' boilerplate.
-    opening = (
-        r"(?is)(publisher'?[’']?s?\s+note|remains\s+neutral\s+with\s+regard|springer\s+nature\s+remains|"
-        r"open\s+access\s+this\s+article\s+is\s+licensed|creative\s+commons\s+attribution|all\s+rights\s+reserved).*$"
-    )
+    opening = f"(?s)(?:{BOILERPLATE}).*$"
     return F.when(raw.rlike(opening), F.regexp_replace(F.regexp_replace(raw, opening, ""), r"^[ .;,]+|[ .;,]+$", "")).otherwise(raw)
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,33 +35,28 @@ def concern_of(verdict: Column) -> Column:
     return out.otherwise(0)
 
 
-def split_passages(text: str | None, target: int = 320) -> Iterator[tuple[int, str]]:
-    """Passages with their offsets: paragraphs part at blank lines; long ones are packed by sentence up to ``target``."""
-    import re
-
-    flat = re.sub(r"\n[ \t]*\n\s*", "\0", text or "").replace("\n", " ")
-    base = 0
-    for paragraph in re.sub(r"[ \t]{2,}", " ", flat).split("\0"):
-        at, base = base, base + len(paragraph) + 1
-        paragraph = paragraph.strip()
-        if len(paragraph) < 40:
-            continue
-        if len(paragraph) <= 1.6 * target:
-            packed = [(0, paragraph)]
-        else:
-            packed, held, held_at, place, held_size = [], [], 0, 0, 0
-            for sentence in re.split(r"(?<=[.!?])\s+", paragraph):
-                if not held:
-                    held_at, held_size = place, 0
-                held.append(sentence)
-                held_size += len(sentence)
-                place += len(sentence) + 1
-                if held_size >= target:
-                    packed.append((held_at, " ".join(held).strip()))
-                    held = []
-            if held:
-                packed.append((held_at, " ".join(held).strip()))
-        yield from ((at + offset, chunk) for offset, chunk in packed if len(chunk) > 40)
+# Characters that a packed passage reaches, that an unpacked paragraph may have, and that either must have.
+PACKED, WHOLE, LEAST_PASSAGE = 320, 512, 40
+
+
+def split_passages(text: str | None, target: int = PACKED) -> Iterator[tuple[int, str]]:
+    """Passages with their offsets: paragraphs part at blank lines; long ones are packed by sentence up to ``target``.
+
+    Offsets count in the text with its wrapped lines joined and runs of blanks squeezed.
+    """
+    joined = re.sub(r"[ \t]{2,}", " ", re.sub(r"\n(?![ \t]*\n)", " ", re.sub(r"\n[ \t]*\n\s*", "\n\n", text or "")))
+    starts = [0, *(m.end() for m in re.finditer("\n\n", joined))]
+    for number, (begin, end) in enumerate(zip(starts, [*starts[1:], len(joined) + 2], strict=True)):
+        paragraph = joined[begin : end - 2].strip()
+        sizes = [len(s) for s in re.split(r"(?<=[.!?])\s+", paragraph)] if len(paragraph) > target * WHOLE / PACKED else [len(paragraph)]
+        # a sentence opens a passage where the one before has reached the target
+        held = list(accumulate(sizes, lambda so_far, size: size if so_far >= target else so_far + size))
+        opens = [0, *(k + 1 for k, so_far in enumerate(held[:-1]) if so_far >= target)]
+        places = [0, *accumulate(size + 1 for size in sizes)]
+        for a, b in zip(opens, [*opens[1:], len(sizes)], strict=True):
+            passage = paragraph[places[a] : places[b] - 1].strip()
+            if len(passage) > LEAST_PASSAGE:
+                yield begin - number + places[a], passage
 
 
 def passages(sources: DataFrame, by: list[str], text: str = "text") -> DataFrame:

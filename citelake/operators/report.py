@@ -111,6 +111,12 @@ def _count(n: Column, one: str, many: str) -> Column:
     return F.concat(n.cast("string"), F.when(n == 1, F.lit(one)).otherwise(F.lit(many)))
 
 
+def risk_stats(found: DataFrame, entries: DataFrame, claim_verdicts: DataFrame, flags: DataFrame) -> DataFrame:
+    """What ``risk`` reads, for every run of ``found`` (run_id, citations_found, references_parsed)."""
+    tally = claim_verdicts.groupBy("run_id").agg(*(F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("unrelated", "weak", "unverified")))
+    return found.join(counters(entries, claim_verdicts, flags), "run_id", "left").join(tally, "run_id", "left").na.fill(0)
+
+
 def risk(stats: DataFrame) -> DataFrame:
     """run_id, level, headlines.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -29,7 +30,7 @@ REFUSED, CHALLENGE, GONE = (401, 403, 429, 451), (202, 503), (404, 410)
 DROPPED_TAGS = {"script", "style", "nav", "footer", "header", "aside", "form", "noscript", "svg", "button"}
 JATS_DROPPED = {"ref-list", "table-wrap", "fig", "table", "back", "front-stub", "graphic", "inline-formula"}
 DESCRIPTIONS = ("description", "citation_abstract", "og:description", "dc.Description", "twitter:description")
-MOST_BYTES, MOST_PAGES = 12_000_000, 40
+MOST_BYTES, MOST_PAGES = 12 * 1024 * 1024, 40
 _PAGE = StructType().add("title", StringType()).add("text", StringType())
 
 
@@ -43,11 +44,11 @@ def any_of(text: Column, phrases: tuple[str, ...]) -> Column:
 def classify(replies: DataFrame) -> DataFrame:
     """kind, ok, blocked, paywalled, dead and the text that remains of each reply.
 
-    ``replies`` has status, content_type, mitigated (the host's own mark), text.  A null status is a failed
-    request: nothing is known.
+    ``replies`` has status, content_type, mitigated (the host's own mark), text, of which ``MOST_BYTES`` count.  A
+    null status is a failed request: nothing is known.
     """
     c = F.col
-    text = F.coalesce("text", F.lit(""))
+    text = F.coalesce(capped_body(F.col("text").cast("binary")), F.lit(""))
     head = F.lower(F.substring(text, 1, 4000))
     status = c("status")
     challenged = status.isin(*REFUSED) | F.coalesce("mitigated", F.lit(False)) | (
@@ -105,7 +106,8 @@ def with_abstract(fetched: DataFrame) -> DataFrame:
 
 
 def capped_body(body: Column) -> Column:
-    return F.substring(body, 1, MOST_BYTES)
+    """The text of a body's first ``MOST_BYTES`` bytes; a character that the cut breaks, or that is none, is U+FFFD."""
+    return F.make_valid_utf8(F.substring(body, 1, MOST_BYTES).cast("string"))
 
 
 def joined_pages(pages: DataFrame, by: list[str]) -> DataFrame:
@@ -116,109 +118,175 @@ def joined_pages(pages: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, F.trim(text).alias("text"))
 
 
-class _Tree(HTMLParser):
-    """A lenient element tree: enough to find the content node of a page."""
+class _Node:
+    __slots__ = ("tag", "attrs", "at", "end", "hidden")
+
+    def __init__(self, tag: str, attrs: dict[str, str], at: int, hidden: bool):
+        self.tag, self.attrs, self.at, self.end, self.hidden = tag, attrs, at, at, hidden
+
+
+class _Page(HTMLParser):
+    """A page as two flat lists in document order: its nodes, each with the stretch of strings that it holds, and its strings.
+
+    A node is hidden if it or a node around it is dropped.  Tags that never end end with their parent, and where
+    the next of their kind begins, so nothing is nested deeper than the page nests it and nothing recurses.
+    """
 
     VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+    # Tags that end where one of these begins.
+    ENDED_BY = {
+        "p": {"p", "div", "ul", "ol", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6"}, "li": {"li"}, "dt": {"dt", "dd"},
+        "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"},
+    }
 
-    def __init__(self) -> None:
+    def __init__(self, dropped: set[str]) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = {"tag": "", "attrs": {}, "children": []}
-        self.open = [self.root]
+        self.dropped = dropped
+        self.nodes: list[_Node] = []
+        self.strings: list[tuple[str, bool]] = []
+        self.open = [_Node("", {}, 0, False)]
+        self.n_open: dict[str, int] = {}
+
+    def _end(self) -> None:
+        node = self.open.pop()
+        node.end = len(self.strings)
+        self.n_open[node.tag] -= 1
 
     def handle_starttag(self, tag, attrs):
-        node = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "children": []}
-        self.open[-1]["children"].append(node)
+        while len(self.open) > 1 and tag in self.ENDED_BY.get(self.open[-1].tag, ()):
+            self._end()
+        node = _Node(tag, {k: v or "" for k, v in attrs}, len(self.strings), self.open[-1].hidden or tag in self.dropped)
+        self.nodes.append(node)
         if tag not in self.VOID:
             self.open.append(node)
+            self.n_open[tag] = self.n_open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
-        self.open[-1]["children"].append({"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "children": []})
+        self.handle_starttag(tag, attrs)
+        if tag not in self.VOID:
+            self._end()
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i]["tag"] == tag:
-                del self.open[i:]
-                return
+        if self.n_open.get(tag):
+            while self.open[-1].tag != tag:
+                self._end()
+            self._end()
 
     def handle_data(self, data):
-        self.open[-1]["children"].append(data)
+        if data.strip():
+            self.strings.append((data.strip(), self.open[-1].hidden))
 
+    def close(self) -> None:
+        super().close()
+        while len(self.open) > 1:
+            self._end()
+        self.open[0].end = len(self.strings)
 
-def _walk(node) -> Iterator[dict]:
-    for child in node["children"]:
-        if isinstance(child, dict):
-            yield child
-            yield from _walk(child)
+    def within(self, node: _Node, shown_only: bool = True) -> list[str]:
+        return [s for s, hidden in self.strings[node.at : node.end] if not (hidden and shown_only)]
 
 
-def _strings(node, dropped: set[str]) -> Iterator[str]:
-    for child in node["children"]:
-        if isinstance(child, str):
-            if child.strip():
-                yield child.strip()
-        elif child["tag"] not in dropped:
-            yield from _strings(child, dropped)
+# Where a page's content is: the first node that passes the first test that any passes.
+_CONTENT = (
+    lambda n: n.tag == "article",
+    lambda n: re.search(r"article|content|main", n.attrs.get("id", ""), re.I),
+    lambda n: re.search(r"article|fulltext|content-body", n.attrs.get("class", ""), re.I),
+    lambda n: n.tag == "main",
+    lambda n: n.tag == "body",
+)
 
 
 def html_text(html: str | None) -> tuple[str, str]:
     """(title, text) of a page: its content node without navigation, by line; a short text gets the description."""
-    tree = _Tree()
-    tree.feed(html or "")
-    nodes = list(_walk(tree.root))
-    named = lambda tag: next((n for n in nodes if n["tag"] == tag), None)
-    title = " ".join(_strings(named("title"), set())) if named("title") else ""
-    hidden = {id(x) for n in nodes if n["tag"] in DROPPED_TAGS for x in [n, *_walk(n)]}
-    shown = [n for n in nodes if id(n) not in hidden]
-
-    def first(test) -> dict | None:
-        return next((n for n in shown if test(n)), None)
-
-    content = (
-        first(lambda n: n["tag"] == "article")
-        or first(lambda n: re.search(r"article|content|main", n["attrs"].get("id", ""), re.I))
-        or first(lambda n: re.search(r"article|fulltext|content-body", n["attrs"].get("class", ""), re.I))
-        or first(lambda n: n["tag"] == "main")
-        or first(lambda n: n["tag"] == "body")
-        or tree.root
-    )
-    text = "\n".join(_strings(content, DROPPED_TAGS))
-    text = re.sub(r"[ \t]{2,}", " ", re.sub(r"\n{3,}", "\n\n", text))
-    metas = {}
+    page = _Page(DROPPED_TAGS)
+    page.feed(html or "")
+    page.close()
+    title = next((" ".join(page.within(n, shown_only=False)) for n in page.nodes if n.tag == "title"), "")
+    shown = [n for n in page.nodes if not n.hidden]
+    content = next((n for test in _CONTENT for n in shown if test(n)), page.open[0])
+    text = re.sub(r"[ \t]{2,}", " ", re.sub(r"\n{3,}", "\n\n", "\n".join(page.within(content))))
+    metas: dict[str, str] = {}
     for n in shown:
-        if n["tag"] == "meta" and n["attrs"].get("content"):
-            for k in ("name", "property"):
-                if n["attrs"].get(k):
-                    metas.setdefault(n["attrs"][k], n["attrs"]["content"])
+        if n.tag == "meta" and n.attrs.get("content"):
+            for name in filter(None, (n.attrs.get("name"), n.attrs.get("property"))):
+                metas.setdefault(name, n.attrs["content"])
     if len(text) < 500:
         more = next((metas[d] for d in DESCRIPTIONS if d in metas), "")
         text = f"{text}\n\n{more}".strip() if more else text
     return (title or metas.get("citation_title", "")).strip(), text.strip()
 
 
-def jats_text(xml: str | None) -> tuple[str, str]:
-    """(title, text) of a JATS article: abstract, then titles and paragraphs of the body, without tables, figures and references."""
+class _LenientXml(HTMLParser):
+    """An element tree out of markup that is no XML: unknown ends are passed over, open elements end with the text."""
+
+    CDATA_CONTENT_ELEMENTS = RCDATA_CONTENT_ELEMENTS = ()
+    DEEPEST = 200
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.builder, self.open = ElementTree.TreeBuilder(), ["root"]
+        self.builder.start("root", {})
+
+    def handle_starttag(self, tag, attrs):
+        if len(self.open) < self.DEEPEST:
+            self.builder.start(tag, {})
+            self.open.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self.builder.start(tag, {})
+        self.builder.end(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.open[1:]:
+            while self.open[-1] != tag:
+                self.builder.end(self.open.pop())
+            self.builder.end(self.open.pop())
+
+    def handle_data(self, data):
+        self.builder.data(data)
+
+    def tree(self, xml: str) -> ElementTree.Element:
+        self.feed(xml)
+        super().close()
+        while self.open:
+            self.builder.end(self.open.pop())
+        return self.builder.close()
+
+
+def _element(xml: str) -> ElementTree.Element:
+    """The tree of an article; names of characters that XML doesn't know are resolved, broken markup is read leniently."""
+    known = {"amp", "lt", "gt", "quot", "apos"}
+    named = re.sub(r"&([A-Za-z][A-Za-z0-9]*);", lambda m: m[0] if m[1] in known else html5.get(f"{m[1]};", " "), xml)
     try:
-        root = ElementTree.fromstring(xml or "")
+        return ElementTree.fromstring(named)
     except ElementTree.ParseError:
-        return "", ""
-    bare = lambda n: n.tag.rpartition("}")[2] if isinstance(n.tag, str) else ""
+        return _LenientXml().tree(named)
+
+
+def jats_text(xml: str | None) -> tuple[str, str]:
+    """(title, text) of a JATS article: abstract, then titles and paragraphs of the body, without tables, figures and references."""
+    root = _element(xml or "")
+    bare = lambda n: re.split("[}:]", n.tag)[-1] if isinstance(n.tag, str) else ""
 
     def text_of(node) -> str:
-        parts = [node.text or ""]
-        for child in node:
-            if bare(child) not in JATS_DROPPED:
-                parts.append(text_of(child))
-            parts.append(child.tail or "")
+        parts, waiting = [], [node]
+        while waiting:
+            part = waiting.pop()
+            if isinstance(part, str):
+                parts.append(part)
+                continue
+            waiting += [x for child in reversed(part) for x in (child.tail or "", *([child] if bare(child) not in JATS_DROPPED else []))]
+            parts.append(part.text or "")
         return " ".join(" ".join(parts).split())
 
     def within(node, tags: set[str]) -> Iterator:
-        for child in node:
-            if bare(child) in JATS_DROPPED:
-                continue
-            if bare(child) in tags:
-                yield child
-            yield from within(child, tags)
+        waiting = list(reversed(node))
+        while waiting:
+            child = waiting.pop()
+            if bare(child) not in JATS_DROPPED:
+                if bare(child) in tags:
+                    yield child
+                waiting += reversed(child)
 
     title = next((text_of(n) for n in root.iter() if bare(n) == "article-title"), "")
     abstract = next(within(root, {"abstract"}), None)

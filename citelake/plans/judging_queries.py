@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citelake.audit import Audit
 from citelake.functions.text import STOP_WORDS, SUFFIXES, tokens
+from citelake.functions.partitions import spread
 from citelake.operators import judging
 from citelake.plans.inputs import Registry, derive, oracle, table
 
@@ -93,10 +94,10 @@ def verdict_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", score.alias("score"), judging.verdict_of(score).alias("verdict"))
 
 
-@R.add(f"SELECT doc_id, len({_tokens_sql('text')}) AS n_tokens, array_to_string({_tokens_sql('text')}[1:20], ' ') AS first_tokens FROM documents")
+@R.add(f"SELECT doc_id, len({_tokens_sql('text')}) AS n_tokens, array_to_string({_tokens_sql('text')}, ' ') AS tokens FROM documents")
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = tokens("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("n_tokens"), F.array_join(F.slice(words, 1, 20), " ").alias("first_tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("n_tokens"), F.array_join(words, " ").alias("tokens"))
 
 
 @R.add()
@@ -107,15 +108,13 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add()
 def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims against the packed passages of the documents that hold them, with the fuzzy phrase term."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_no"), "text")
-    # each claim is judged against the documents that hold its opening words
-    opening = claims.withColumn("opening", F.substring_index("text", " ", 6))
-    pairs = docs.join(F.broadcast(opening.select("claim_no", F.col("text").alias("claim"), "opening")), F.contains("text", F.col("opening")))
-    own = pairs.select("doc_id", "claim_no", F.col("claim").alias("text"))
-    windows = judging.passages(docs.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id"])
-    return judging.lexical_support(own, windows, ["doc_id"], ["claim_no"], ["passage_no"])
+    """Every document's packed passages and header against the claim that its number links it to, with the fuzzy phrase term."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("").alias("abstract"), F.concat_ws(" ", "source", "lang").alias("title"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("claim"))
+    n = items.agg(F.greatest(F.count("*"), F.lit(1))).first()[0]
+    claims = docs.select("doc_id", (F.col("doc_id") % n).alias("item_id")).join(items, "item_id").select("doc_id", F.col("item_id").alias("claim_no"), F.col("claim").alias("text"))
+    windows = judging.passages(spread(docs), ["doc_id"]).unionByName(judging.header_passage(docs, ["doc_id"]))
+    return judging.lexical_support(claims, windows, ["doc_id"], ["claim_no"], ["passage_no"])
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:

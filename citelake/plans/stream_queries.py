@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citelake.functions.partitions import shared_dir
 from citelake.plans.inputs import Registry, derive, oracle
 from citelake.sources import sinks
 from citelake.streaming import events as ev
@@ -26,10 +26,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run(stream: DataFrame, mode: str) -> DataFrame:
-    spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citelake-stream-")
-    name = f"s{uuid.uuid4().hex}"
-    return ev.collect_into(stream, name, mode, f"{shared.rstrip('/')}/{name}")
+    return ev.collect_into(stream, f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}", mode)
 
 
 @R.add(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from citelake.functions import similarity, text
+from citelake.functions.partitions import spread
 from citelake.operators import bibliography, highlights, judging, layout, markers, retrieval
 from citelake.plans.inputs import Registry, derive, oracle, table
 
@@ -29,29 +32,16 @@ def dehyphenate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.join_hyphens(broken).alias("text"))
 
 
-def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 900 + 1).alias("l_partkey"), (F.col("l_suppkey") % 500 % 70).alias("span"), (F.col("l_suppkey") % 500).alias("s")).distinct()
-
-
-def _expanded(rows: DataFrame) -> DataFrame:
-    group = F.concat(F.col("l_linenumber"), F.lit(", "), F.col("l_partkey"), F.lit("-"), F.col("l_partkey") + F.col("span"))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(text.expand_numbers(group), ",").alias("keys"))
-
-
 @R.add(
-    """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey % 70 BETWEEN 1 AND 60 THEN array_to_string(list_concat([CAST(l_linenumber AS VARCHAR)],
+    """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey % 70 BETWEEN 1 AND 60 AND l_partkey + l_suppkey % 70 < 1000 THEN array_to_string(list_concat([CAST(l_linenumber AS VARCHAR)],
         list_transform(range(l_partkey, l_partkey + l_suppkey % 70 + 1), lambda x: CAST(x AS VARCHAR))), ',') ELSE l_linenumber || ',' || l_partkey END AS keys
-    FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey % 900 + 1 AS l_partkey, l_suppkey % 500 AS l_suppkey FROM lineitem) WHERE l_partkey + l_suppkey % 70 < 1000"""
+    FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey % 900 + 1 AS l_partkey, l_suppkey % 500 AS l_suppkey FROM lineitem)"""
 )
 def range_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ranges(spark, sf_dir)
-    return _expanded(rows.where(F.col("l_partkey") + F.col("span") < 1000))
-
-
-@R.add()
-def range_expand_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All line items, also ranges that end beyond three digits (range_expand leaves them out, as its SQL says)."""
-    return _expanded(_ranges(spark, sf_dir))
+    """Ranges that end beyond three digits are none: they keep their low end."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 900 + 1).alias("l_partkey"), (F.col("l_suppkey") % 500).alias("s")).distinct()
+    group = F.concat(F.col("l_linenumber"), F.lit(", "), F.col("l_partkey"), F.lit("-"), F.col("l_partkey") + F.col("s") % 70)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(text.expand_numbers(group), ",").alias("keys"))
 
 
 @R.add("SELECT c_custkey, lower(regexp_replace(c_mktsegment, '[^A-Za-z]', '', 'g')) || CAST(1990 + c_custkey % 30 AS VARCHAR) AS key FROM customer")
@@ -109,14 +99,9 @@ def short_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.shorten(F.col("text")).alias("short"))
 
 
-@R.add("SELECT doc_id, lower(strip_accents(left(text, 200))) AS folded FROM documents WHERE lang <> 'de'")
+@R.add("SELECT doc_id, replace(lower(strip_accents(replace(text, 'ß', chr(1)))), chr(1), 'ß') AS folded FROM documents")
 def fold_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang <> 'de'").select("doc_id", similarity.fold_udf(F.substring("text", 1, 200)).alias("folded"))
-
-
-@R.add()
-def fold_accents_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, whole (fold_accents takes openings, without German, as its SQL says; checked in the unit tests)."""
+    """Whole texts without accents; a sharp s has none."""
     return table(spark, sf_dir, "documents").select("doc_id", similarity.fold_udf("text").alias("folded"))
 
 
@@ -134,22 +119,13 @@ def compose_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", similarity.compose_accents_udf(loose).alias("text"))
 
 
-@R.add("SELECT doc_id, '1. ' || replace(text, chr(10), chr(10) || '22) ') AS text FROM documents WHERE NOT regexp_matches(text, '(^|\\n)[\\d\\s]')")
+@R.add(
+    """SELECT doc_id, regexp_replace('1.' || chr(8203) || replace(text, chr(10), chr(10) || '22)' || chr(65279) || chr(8203)), '(^|\\n)([ \\t]*\\d{1,3}[.)])[\\x{200B}\\x{FEFF}]+([^\\d\\s])', '\\1\\2 \\3', 'g') AS text FROM documents"""
+)
 def list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """List numbers glued to their entries by zero-width characters."""
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"(^|\n)[\d\s]"))
-    return _widened(docs)
-
-
-@R.add()
-def list_markers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, also those with lines that begin with a digit or blank (list_markers leaves them out, as its SQL says)."""
-    return _widened(table(spark, sf_dir, "documents"))
-
-
-def _widened(docs: DataFrame) -> DataFrame:
+    """List numbers glued to their entries by zero-width characters; before a digit or a blank they stay."""
     glued = F.concat(F.lit("1.\u200b"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n22)\ufeff\u200b")))
-    return docs.select("doc_id", text.widen_list_markers(glued).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.widen_list_markers(glued).alias("text"))
 
 
 _CHOICE = "SELECT conv_id % 60 AS r, turn AS page, text AS plain, CASE WHEN conv_id % 3 = 0 THEN text || ' x [3] y [4, 5]' ELSE text END AS marked FROM conversations"
@@ -298,35 +274,67 @@ def clause_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markers.clauses(found, ["run_id"]).select("run_id", "marker_no", "clause")
 
 
-@R.add()
+@R.add(
+    """WITH t AS (SELECT CAST(o_orderkey AS VARCHAR) AS run_id, 'The ' || o_orderpriority || ' order was studied in detail before now ' AS a, '[' || (o_orderkey % 40 + 1) || ']' AS m1, (o_orderkey % 40 + 1) AS k1,
+      'while later reports of customer ' || o_custkey || ' disagree with the first account ' AS b, '[' || (o_custkey % 30 + 1) || ',' || (o_custkey % 30 + 3) || '-' || (o_custkey % 30 + 5) || ']' AS m2, o_custkey % 30 AS k2,
+      ' and nothing else was found in status ' || o_orderstatus || '.' AS z FROM orders)
+    SELECT run_id, CAST(k1 AS VARCHAR) AS key, m1 AS label, 'numeric' AS style, trim(a) || ' ' || m1 AS claim, length(a) AS char_offset, 1 AS group_size, TRUE AS prose FROM t
+    UNION ALL SELECT run_id, CAST(k2 + unnest([1, 3, 4, 5]) AS VARCHAR), m2, 'numeric', b || m2 || z, length(a || m1 || ', ' || b), 4, TRUE FROM t"""
+)
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every citation of the derived manuscripts (sequential splitting: checked in the unit tests)."""
-    return markers.extract(derive(spark, sf_dir, "manuscripts")).select("run_id", "key", "label", "style", "claim", "char_offset", "group_size", "prose")
+    """Every citation of the derived manuscripts."""
+    return markers.extract(spread(derive(spark, sf_dir, "manuscripts"))).select("run_id", "key", "label", "style", "claim", "char_offset", "group_size", "prose")
+
+
+#: A sentence for each kind of marker; the number makes the keys differ.
+_STYLED = (
+    ("round", "It was shown at length (Smith and Doe, {y}; Kay et al., {y}a) by all of them.", [("smith{y}", "(Smith and Doe, {y})"), ("kay{y}a", "(Kay et al., {y}a)")], "author-year"),
+    ("square", "It was shown at length [see Roe, {y}] by all of them.", [("roe{y}", "[Roe, {y}]")], "author-year"),
+    ("narrative", "It was Poe et al. ({y}) who showed it to all of them.", [("poe{y}", "Poe et al. ({y})")], "author-year"),
+    ("alpha", "It was shown at length [SD{s}, RMW+{s}] by all of them.", [("SD{s}", "[SD{s}]"), ("RMW+{s}", "[RMW+{s}]")], "alpha"),
+    ("numeric", "It was shown at length [{n}, {n}0] by all of them.", [("{n}", "[{n}, {n}0]"), ("{n}0", "[{n}, {n}0]")], "numeric"),
+    ("none", "Table 3 ({y}) shows an interval of [3, 5]nm in June ({y}) to all of them.", [], ""),
+)
 
 
-@R.add()
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markers.sentences(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), "text"))
+def _styled_sql(template: str, literal: str) -> str:
+    """A template with its fields as SQL expressions of p_partkey."""
+    year, number = "CAST(1980 + p_partkey % 40 AS STRING)", "CAST(p_partkey % 9 + 1 AS STRING)"
+    fields = {"{y}": year, "{s}": f"substring({year}, 3, 2)", "{n}": number}
+    parts = re.split(r"(\{[ysn]\})", template)
+    return " || ".join(fields.get(p) or f"'{p}'" for p in parts if p) or literal
+
+
+_TEXTS = "SELECT CAST(p_partkey AS STRING) AS run_id, CASE p_partkey % 6 " + " ".join(f"WHEN {k} THEN {_styled_sql(x[1], '')}" for k, x in enumerate(_STYLED)) + " END AS text FROM {part}"
 
 
 @R.add(
-    """WITH h AS (SELECT l_orderkey % 500 AS r, CASE l_partkey % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'author-year' ELSE 'numeric' END AS style, sum(l_linenumber % 3 + 1) AS hits FROM lineitem WHERE l_orderkey % 500 < 400 OR l_linenumber = 7 GROUP BY ALL)
-    SELECT CAST(r AS VARCHAR) AS run_id, arg_max(style, hits * 10 - CASE style WHEN 'numeric' THEN 0 WHEN 'author-year' THEN 1 ELSE 2 END) AS style, CAST(max(hits) AS BIGINT) AS hits FROM h GROUP BY r HAVING max(hits) >= 5"""
+    " UNION ALL ".join(
+        f"SELECT CAST(p_partkey AS VARCHAR) AS run_id, {_styled_sql(key, '')} AS key, {_styled_sql(label, '')} AS label, '{style}' AS style FROM part WHERE p_partkey % 6 = {k}"
+        for k, (_, _, found, style) in enumerate(_STYLED)
+        for key, label in found
+    ).replace("AS STRING", "AS VARCHAR")
 )
-def style_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _voted(table(spark, sf_dir, "lineitem").where("l_orderkey % 500 < 400 or l_linenumber = 7"))
+def marker_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers of every printed style, and what only looks like one."""
+    texts = spark.sql(_TEXTS, part=table(spark, sf_dir, "part"))
+    return markers.extract(texts).select("run_id", "key", "label", "style")
 
 
 @R.add()
-def style_vote_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All line items (style_vote takes a part of them, as its SQL says)."""
-    return _voted(table(spark, sf_dir, "lineitem"))
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markers.sentences(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), "text"))
 
 
-def _voted(rows: DataFrame) -> DataFrame:
+@R.add(
+    """WITH h AS (SELECT l_orderkey % 500 AS r, CASE l_partkey % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'author-year' ELSE 'numeric' END AS style, sum(l_linenumber % 3 + 1) AS hits FROM lineitem GROUP BY ALL)
+    SELECT CAST(r AS VARCHAR) AS run_id, arg_max(style, hits * 10 - CASE style WHEN 'numeric' THEN 0 WHEN 'author-year' THEN 1 ELSE 2 END) AS style, CAST(max(hits) AS BIGINT) AS hits FROM h GROUP BY r HAVING max(hits) >= 5"""
+)
+def style_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.col("l_partkey") % 4
     style = F.when(part == 0, "alpha").when(part == 1, "author-year").otherwise("numeric")
-    return markers.style_vote(rows.select((F.col("l_orderkey") % 500).cast("string").alias("run_id"), style.alias("style"), (F.col("l_linenumber") % 3 + 1).alias("n_keys")))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).cast("string").alias("run_id"), style.alias("style"), (F.col("l_linenumber") % 3 + 1).alias("n_keys"))
+    return markers.style_vote(rows)
 
 
 CITES = """SELECT 'r' || CAST(l_suppkey % 40 AS STRING) AS run_id, CAST(l_partkey % 120 AS STRING) AS key, CAST(l_orderkey % 3000 AS INT) AS char_offset, '[' || CAST(l_orderkey % 7 AS STRING) || ']' AS label,
@@ -378,15 +386,58 @@ def prose_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- bibliographies ---------------------------------------------------------------------------------
 
 
-@R.add()
+@R.add(
+    """WITH p AS (SELECT CAST(p_partkey % 50 AS VARCHAR) AS run_id, p_name, p_size, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) AS n FROM part)
+    SELECT run_id, CAST(n - 1 AS INT) AS entry_no, CAST(n AS VARCHAR) AS key, CAST(n AS INT) AS number, 'J. Smith and A. Doe' AS authors, 'A study of ' || p_name AS title, CAST(1990 + p_size % 30 AS VARCHAR) AS year FROM p WHERE n < 1000"""
+)
 def bibliography_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered lists made of parts, split and parsed (ordered rules: checked in the unit tests)."""
-    part = table(spark, sf_dir, "part").withColumn("run_id", (F.col("p_partkey") % 50).cast("string"))
-    number = F.row_number().over(W.partitionBy("run_id").orderBy("p_partkey"))
-    line = F.concat(F.lit("["), number, F.lit("] J. Smith and A. Doe. A study of "), "p_name", F.lit(". Journal of "), "p_brand", F.lit(", 12(3):1-20, "), F.lit(1990) + F.col("p_size") % 30, F.lit("."))
-    rows = part.select("run_id", "p_partkey", line.alias("line"))
-    lists = rows.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return bibliography.entries(lists).select("run_id", "entry_no", "key", "number", "authors", "title", "year")
+    """Numbered lists made of parts, split and parsed; a list's numbers have three digits at most."""
+    line = "'[' || CAST(n AS STRING) || '] J. Smith and A. Doe. A study of ' || p_name || '. Journal of ' || p_brand || ', 12(3):1-20, ' || CAST(1990 + p_size % 30 AS STRING) || '.'"
+    numbered = "SELECT *, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) AS n FROM {part}"
+    rows = spark.sql(f"SELECT CAST(p_partkey % 50 AS STRING) AS run_id, n, {line} AS line FROM ({numbered}) WHERE n < 1000", part=table(spark, sf_dir, "part"))
+    return bibliography.entries(_listed(rows)).select("run_id", "entry_no", "key", "number", "authors", "title", "year")
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """run_id, text: the lines (n, line) of each run in order."""
+    return rows.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+#: Printed styles of entries: the line, and the key that it gives; the name makes both differ.
+_PRINTED = (
+    ("{a}, J. ({y}). A study of {t} in plants. Journal of Things, 12(3), 1-20.", "lower({a}) || {y}", "{a}, J"),
+    ("John {a} and Anna Doe. {y}. A study of {t} in plants. In Proceedings of Things.", "lower({a}) || {y}", "John {a} and Anna Doe"),
+    ("{a}, John, Hazan, Elad, and Singer, Yoram. A study of {t} in plants. JMLR, 12:2121-2159, {y}.", "lower({a}) || {y}", "{a}, John, Hazan, Elad, and Singer, Yoram"),
+    ("{n}. {a} J, Doe A. A study of {t} in plants. J Stuff. {y};12(3):1-20.", "CAST(n AS STRING)", "{a} J, Doe A"),
+    ("[{n}] J. {a} and A. Doe, \"A study of {t} in plants,\" J. Stuff, vol. 12, pp. 1-20, {y}.", "CAST(n AS STRING)", "J. {a} and A. Doe"),
+    ("[Abc{s}] John {a} and Anna Doe. A study of {t} in plants. J. Stuff, {y}.", "'Abc' || {s}", "John {a} and Anna Doe"),
+)
+_SURNAMES = ("Smith", "Brown", "Green", "Young", "Baker", "Mason", "Clark", "Lewis")
+
+
+def _printed_sql(template: str, quoted: bool = True) -> str:
+    surname = "CASE n " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_SURNAMES, 1)) + " END"
+    year = "CAST(1979 + n * 3 AS STRING)"
+    fields = {"{a}": f"({surname})", "{y}": year, "{s}": f"substring({year}, 3, 2)", "{n}": "CAST(n AS STRING)", "{t}": "p_name"}
+    parts = re.split(r"(\{[aysnt]\})", template)
+    return (" || " if quoted else "").join(fields.get(p) or (f"'{p}'" if quoted else p) for p in parts if p)
+
+
+def _printed_rows(part: str) -> str:
+    numbered = f"SELECT *, CAST(floor((p_partkey - 1) / 8) AS BIGINT) AS r, (p_partkey - 1) % 8 + 1 AS n FROM {part}"
+    lines = " ".join(f"WHEN {k} THEN {_printed_sql(x[0])}" for k, x in enumerate(_PRINTED))
+    keys = " ".join(f"WHEN {k} THEN {_printed_sql(x[1], quoted=False)}" for k, x in enumerate(_PRINTED))
+    names = " ".join(f"WHEN {k} THEN {_printed_sql(x[2])}" for k, x in enumerate(_PRINTED))
+    year = _printed_sql("{y}")
+    return f"SELECT CAST(r AS STRING) AS run_id, n, CASE r % 6 {lines} END AS line, CASE r % 6 {keys} END AS key, CASE r % 6 {names} END AS authors, 'A study of ' || p_name || ' in plants' AS title, {year} AS year FROM ({numbered})"
+
+
+@R.add(f"SELECT run_id, CAST(n - 1 AS INT) AS entry_no, key, authors, title, year FROM ({_printed_rows('part').replace('AS STRING', 'AS VARCHAR').replace('FLOOR((p_partkey - 1) / 8)', '(p_partkey - 1) // 8')})")
+def bibliography_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists in six printed styles, with and without numbers and labels, split and read."""
+    rows = spark.sql(_printed_rows("{part}"), part=table(spark, sf_dir, "part"))
+    found = bibliography.entries(_listed(rows)).select("run_id", "entry_no", "key", "authors", "year", "title")
+    return found.withColumn("title", F.regexp_replace("title", ",$", ""))
 
 
 _OWN = """/*more*/ own AS (SELECT * FROM bib QUALIFY count(*) OVER (PARTITION BY run_id, key) = 1),
@@ -475,9 +526,10 @@ def longest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT l_orderkey, round(avg(CASE WHEN l_partkey > b THEN 1.0 ELSE 0.0 END), 4) AS ascending FROM n WHERE b IS NOT NULL GROUP BY l_orderkey"""
 )
 def ascending_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.lag("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    rows = table(spark, sf_dir, "lineitem").withColumn("b", before).where("b is not null")
-    return rows.groupBy("l_orderkey").agg(F.round(F.avg((F.col("l_partkey") > F.col("b")).cast("double")), 4).alias("ascending"))
+    """The share that decides whether numbers count a list (of lists of two numbers or more)."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.struct("l_linenumber", "l_partkey").alias("at"), F.col("l_partkey").alias("number"))
+    found = bibliography.ascending_shares(rows).where("ascending is not null")
+    return found.select(F.col("run_id").alias("l_orderkey"), F.round("ascending", 4).alias("ascending"))
 
 
 # --- evidence ---------------------------------------------------------------------------------------
@@ -485,26 +537,17 @@ def ascending_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "SELECT doc_id % 50 AS run_id, CAST(doc_id // 50 AS INT) AS page, unnest(string_split_regex(text, '\\s+')) AS text, generate_subscripts(string_split_regex(text, '\\s+'), 1) AS word_no FROM documents"
 
 
-def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select((F.col("doc_id") % 50).alias("run_id"), F.floor(F.col("doc_id") / 50).cast("int").alias("page"), F.posexplode(F.split("text", r"\s+")).alias("word_no", "text"))
-
-
 @R.add(
-    f"""WITH t AS (SELECT run_id, page, word_no, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS token FROM ({_WORDS}) WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id % 50 = run_id AND d.doc_id // 50 = page AND regexp_matches(d.text, '-(\\s|$)')))
+    f"""WITH w AS (SELECT *, CASE WHEN text LIKE '%-' THEN 0 ELSE 1 END AS whole FROM ({_WORDS})),
+    i AS (SELECT *, sum(whole) OVER (PARTITION BY run_id, page ORDER BY word_no ROWS UNBOUNDED PRECEDING) - whole AS island FROM w),
+    t AS (SELECT run_id, page, min(word_no) AS word_no, regexp_replace(lower(string_agg(text, '' ORDER BY word_no)), '[^a-z0-9]', '', 'g') AS token FROM i GROUP BY run_id, page, island)
     SELECT run_id, page, CAST(row_number() OVER (PARTITION BY run_id, page ORDER BY word_no) AS INT) AS place, token FROM t WHERE token <> ''"""
 )
 def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of pages without words broken at a hyphen (joining those is checked in the unit tests)."""
-    words = _words(spark, sf_dir)
-    broken = words.where(F.col("text").endswith("-")).select("run_id", "page").distinct()
-    return highlights.word_tokens(words.join(broken, ["run_id", "page"], "left_anti"), ["run_id"])
-
-
-@R.add()
-def page_tokens_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of all pages, words broken at a hyphen joined (page_tokens leaves such pages out, as its SQL says)."""
-    return highlights.word_tokens(_words(spark, sf_dir), ["run_id"])
+    """Tokens of all pages, words broken at a hyphen joined."""
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select((F.col("doc_id") % 50).alias("run_id"), F.floor(F.col("doc_id") / 50).cast("int").alias("page"), F.posexplode(F.split("text", r"\s+")).alias("word_no", "text"))
+    return highlights.word_tokens(words, ["run_id"])
 
 
 @R.add()
@@ -517,14 +560,17 @@ def highlight_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each benchmark item stands first in each document that holds it (checked against plain search in the unit tests).
 
-    A document is a run of one page, so that every document is searched, to its end.  Only documents that hold an
-    item's letters and digits are cut into tokens.
+    A document is a run of one page, so that every document is searched, to its end.  Documents and items meet on the
+    hash of an item's first four tokens; only documents that hold them are cut into tokens.
     """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.lit(0).alias("page"), "text")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("item"), F.lit(0).alias("page"), "text")
-    squeezed = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    wanted = items.select("item", squeezed("text").alias("needle")).where("needle != ''")
-    pairs = docs.select("run_id", squeezed("text").alias("held")).join(F.broadcast(wanted), F.contains("held", "needle")).select("run_id", "item").distinct()
+    words = lambda c: highlights.phrase_tokens(F.regexp_replace(c, r"-\s+", ""))  # noqa: E731  (broken words joined)
+    gram = lambda tokens, k: F.xxhash64(F.slice(tokens, k, highlights.LEAST_TOKENS))
+    wanted = items.select("item", words("text").alias("t")).where(F.size("t") >= highlights.LEAST_TOKENS).select("item", gram(F.col("t"), F.lit(1)).alias("opening"))
+    starts = F.sequence(F.lit(1), F.size("t") - highlights.LEAST_TOKENS + 1)
+    held = docs.select("run_id", words("text").alias("t")).where(F.size("t") >= highlights.LEAST_TOKENS).select("run_id", F.explode(F.array_distinct(F.transform(starts, lambda k: gram(F.col("t"), k)))).alias("opening"))
+    pairs = held.join(wanted, "opening").select("run_id", "item").distinct()
     split = lambda rows, by: highlights.word_tokens(rows.select(by, "page", F.posexplode(F.split("text", r"\s+")).alias("word_no", "text")), [by])
     tokens = split(docs.join(pairs.select("run_id").distinct(), "run_id", "left_semi"), "run_id").join(pairs, "run_id")
     # the items' tokens by the same rule, so that words broken at a hyphen are joined on both sides

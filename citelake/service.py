@@ -65,13 +65,14 @@ class AuditService:
         frame = self.spark.read.schema(_SCHEMAS[table]).option("basePath", self._path(table)).parquet(self._path(table))
         return frame if run_id is None else frame.where(F.col("run_id") == run_id)  # prunes partitions
 
-    def audit(self, manuscripts: DataFrame, replies: DataFrame, sources: DataFrame, reference_cap: int = 250) -> None:
-        """Audits manuscripts and keeps entries, claims, flags and unmatched keys."""
-        done = Audit(manuscripts, replies, sources, reference_cap)
+    def audit(self, manuscripts: DataFrame, replies: DataFrame, sources: DataFrame, reference_cap: int = 250, **more: DataFrame) -> None:
+        """Audits manuscripts and keeps entries, claims, flags, unmatched keys and what was found; ``more``: ``Audit``'s other tables."""
+        done = Audit(manuscripts, replies, sources, reference_cap, **more)
         self._append("entries", done.entries.select(*ENTRIES))
         self._append("claims", done.claim_verdicts.select(*CLAIMS))
         self._append("flags", done.flags.select(*FLAGS))
         self._append("unmatched", done.unmatched)
+        self._append("found", done.found_counts)
         self.spark.createDataFrame([], ACTIONS).write.mode("append").parquet(self._path("actions"))
         done.close()
 
@@ -81,7 +82,9 @@ class AuditService:
             raise KeyError(f"no reference {key!r} in this report")
         if claim_no is not None and self._table("claims", run_id).where((F.col("key") == key) & (F.col("claim_no") == claim_no)).isEmpty():
             raise KeyError(f"reference {key!r} has no citation {claim_no + 1}")
-        row = [(run_id, time.time_ns(), kind, key, claim_no, verdict, engine, note.strip()[:2000])]
+        # the clock orders the actions of different drivers, and no action comes before one that it followed
+        last = self.spark.read.schema(ACTIONS).parquet(self._path("actions")).where(F.col("run_id") == run_id).agg(F.max("action_no")).first()[0]
+        row = [(run_id, max(time.time_ns(), (last or 0) + 1), kind, key, claim_no, verdict, engine, note.strip()[:2000])]
         frame = self.spark.createDataFrame(row, ACTIONS.rpartition(",")[0]).withColumn("at", F.current_timestamp())
         frame.write.mode("append").parquet(self._path("actions"))
 
@@ -116,11 +119,31 @@ class AuditService:
         rows = self._table("claims", run_id).join(standing, ["run_id", "key", "claim_no"], "left")
         return rows.withColumnRenamed("verdict", "machine_verdict").withColumn("verdict", F.coalesce("override", "machine_verdict"))
 
+    def recheck_claim(self, run_id: str, key: str, claim_no: int, verdict: str, engine: str) -> None:
+        """What checking one claim again found; its siblings stay, and the engine's label is never weakened."""
+        if engine:
+            self._act(run_id, "set", key, claim_no, verdict, engine, "checked again")
+
+    def recheck_document(self, run_id: str, key: str, text: str, manuscripts: DataFrame, sources: DataFrame) -> str:
+        """Checks one reference against a document that the reader supplies, keeps the outcome, and returns its verdict."""
+        none = self.spark.createDataFrame([], "run_id string, key string, index string, status int, found boolean")
+        again = Audit(manuscripts, none, sources).with_document(run_id, key, text)
+        row = again.entries.where(F.col("key") == key).select("verdict", "engine").first()
+        again.close()
+        verdict, engine = (row["verdict"], row["engine"]) if row else ("unverified", "")
+        self.recheck(run_id, key, verdict, engine)
+        return verdict
+
     def risk(self, run_id: str | None = None) -> DataFrame:
-        entries, claims, flags = self.entries(run_id), self.claims(run_id), self._table("flags", run_id)
-        tally = claims.groupBy("run_id").agg(*(F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("unrelated", "weak", "unverified")))
-        found = {"citations_found": F.col("claims_judged"), "references_parsed": F.col("references_checked")}
-        return report.risk(report.counters(entries, claims, flags).join(tally, "run_id", "left").na.fill(0).withColumns(found))
+        stats = report.risk_stats(self._table("found", run_id), self.entries(run_id), self.claims(run_id), self._table("flags", run_id))
+        return report.risk(stats)
+
+    def filtered(self, run_id: str, verdict: str) -> tuple[str, DataFrame]:
+        """The references with a citation of a verdict, for print, and the caption that says how many of all they are."""
+        entries, claims = self.entries(run_id), self.claims(run_id)
+        shown = report.section(entries, claims, verdict)
+        n, of = shown.count(), entries.count()
+        return f"{n} of {of} reference{'s' * (of != 1)} with a citation that is {verdict.replace('_', ' ')}", shown
 
     def documents(self, run_id: str | None = None) -> DataFrame:
         """Report documents of the runs as they stand now."""
@@ -139,4 +162,5 @@ _SCHEMAS = {
     "claims": "key string, claim_no int, claim string, verdict string, score double, run_id string",
     "flags": "key string, flag_no int, kind string, severity string, message string, run_id string",
     "unmatched": "key string, status string, run_id string",
+    "found": "citations_found long, references_parsed long, run_id string",
 }

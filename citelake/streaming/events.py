@@ -38,11 +38,24 @@ def windowed(events: DataFrame, width: str = "1 day", delay: str = "1 hour") ->
     return marked.agg(F.count("*").alias("n"), F.sum("percent").alias("total")).select(F.col("window.start").alias("start"), "stage", "n", "total")
 
 
-def collect_into(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there now into a table in memory, and returns it (for tests and small tallies)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
-    query.trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def collect_into(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Runs a stream over what is there now into Parquet below ``folder`` (shared), and returns the table.
+
+    A batch that is run again writes its own folder again.  In complete mode the last batch is the whole table.
+    """
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}-checkpoint")
+    query = query.trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    kept = spark.read.schema(stream.schema.add("batch", "long")).parquet(folder)
+    newest = kept.where(F.col("batch") == kept.agg(F.max("batch")).first()[0]) if mode == "complete" else kept
+    return newest.drop("batch")
 
 
 class Overrides(StatefulProcessor):

@@ -122,10 +122,12 @@ RECORD = {"index": "Crossref", "title_agreement": 0.95, "year": "2015", "surname
         ({"authors": "Zhou, X. and Wu, Y.", "year": "2009"}, {"title_agreement": 0.8}, []),
     ],
 )
-def test_metadata(entry, record, kinds):
-    entry = {"existence": "confirmed", "title": "Adam: a method for optimization", **entry, "records": [RECORD | record]}
+def test_metadata(spark, entry, record, kinds):
+    entry = {"run_id": "r", "key": "1", "existence": "confirmed", "title": "Adam: a method for optimization", **entry, "records": [RECORD | record]}
     entry["raw"] = f"{entry['authors']} {entry['title']}. {entry['year']}."
-    assert [k for k, _, _ in flags.record_flags(entry)] == kinds
+    schema = "run_id string, key string, existence string, raw string, title string, authors string, year string, records array<struct<index:string,title_agreement:double,year:string,surnames:array<string>,book:boolean>>"
+    got = flags.metadata_flags(spark.createDataFrame([entry], schema)).first()["flags"]
+    assert [f["kind"] for f in got] == kinds
 
 
 def test_credited_names(spark):
@@ -136,32 +138,28 @@ def test_credited_names(spark):
 # --- layout, retrieval, evidence ---------------------------------------------------------------------
 
 
-def parse_count(text):
-    return len(bibliography.parse(text))
-
-
-def numbers(text):
-    return [e["number"] for e in bibliography.parse(text) if e["number"]]
-
-
 REFS = [f"[{k}] J. Smith. A title of some work {k}. Journal of Things, {2000 + k}." for k in range(1, 7)]
 
 
 def test_bibliography_is_found_and_blanked():
     lines = ["Title", "References are listed below", *["Body text line."] * 20, "References", *REFS, "Appendix", "More text"]
-    body, refs, head = layout.split_bibliography("\n".join(lines), parse_count, numbers)
+    body, refs, head, found = layout.split_bibliography("\n".join(lines), bibliography.parse)
     assert head == 22 and refs.splitlines() == REFS and len(body) == len("\n".join(lines)) and "J. Smith" not in body and "More text" in body
+    assert [e["key"] for e in found] == [str(k) for k in range(1, 7)]
+    bare = [f"{k} van der Berg, A. A title of some work {k}. Journal of Things, {2000 + k}." for k in range(1, 7)]  # particles before the surname
+    _, refs, *_ = layout.split_bibliography("\n".join(["Text."] * 20 + bare), bibliography.parse)
+    assert refs.splitlines() == bare
 
 
 def test_unlabelled_and_resumed_lists():
-    body, refs, _ = layout.split_bibliography("\n".join(["Text."] * 20 + REFS), parse_count, numbers)
+    body, refs, *_ = layout.split_bibliography("\n".join(["Text."] * 20 + REFS), bibliography.parse)
     assert refs.splitlines() == REFS
     more = [f"[{k}] J. Smith. A title of some work {k}. Journal of Things, {2000 + k}." for k in (7, 8, 9)]
     lines = ["Text."] * 20 + ["References", *REFS, "Methods", "We did things."] + more
-    _, refs, _ = layout.split_bibliography("\n".join(lines), parse_count, numbers)
+    _, refs, *_ = layout.split_bibliography("\n".join(lines), bibliography.parse)
     assert refs.splitlines() == REFS + more
-    assert layout.split_bibliography("no list\nat all", parse_count, numbers)[2] is None
-    assert layout.split_bibliography("", parse_count, numbers) == ("", "", None)
+    assert layout.split_bibliography("no list\nat all", bibliography.parse)[2] is None
+    assert layout.split_bibliography("", bibliography.parse) == ("", "", None, [])
 
 
 def test_columns_are_read_one_after_the_other(spark):
@@ -177,6 +175,23 @@ def test_html_and_jats():
     assert retrieval.html_text(None) == ("", "") and retrieval.html_text("<p>a<p>b")[1] == "a\nb"
     xml = "<article><front><article-title>T</article-title><abstract><p>A</p></abstract></front><body><sec><title>S</title><p>P <fig>F</fig>q</p></sec></body><back><p>B</p></back></article>"
     assert retrieval.jats_text(xml) == ("T", "A\n\nS\n\nP q") and retrieval.jats_text("<broken") == ("", "")
+    assert retrieval.jats_text(xml.replace("<p>A</p>", "<p>A&nbsp;b &amp; c&mdash;d</p>")) == ("T", "A b & c—d\n\nS\n\nP q")
+    assert retrieval.jats_text(xml.replace("</sec>", "")) == ("T", "A\n\nS\n\nP q")  # an element that never ends
+
+
+def test_html_of_many_unclosed_tags():
+    for tag in ("p", "div", "li"):
+        title, text = retrieval.html_text("<title>T</title><body>" + f"<{tag}>x" * 100_000)
+        assert title == "T" and text.count("x") == 100_000
+    assert retrieval.html_text("<div>" * 50_000 + "<nav>no<p>no</nav>yes")[1] == "yes"
+
+
+def test_bodies_are_capped_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MOST_BYTES", 5)
+    rows = spark.createDataFrame([(1, "abcdefgh"), (2, "éééé"), (3, None), (4, "ab")], "k int, body string")
+    got = {r["k"]: r["t"] for r in rows.select("k", retrieval.capped_body(F.col("body").cast("binary")).alias("t")).collect()}
+    assert got == {1: "abcde", 2: "éé\ufffd", 3: None, 4: "ab"}
+    assert retrieval.classify(spark.createDataFrame([(200, "text/html", False, "abcdefgh")], "status int, content_type string, mitigated boolean, text string")).first()["text"] == "abcde"
 
 
 def test_compose_accents():
@@ -195,9 +210,15 @@ def test_phrases_are_found_across_hyphens(spark):
     assert hinted["page"] == 3
 
 
-def test_candidates_are_informative():
-    got = highlights.candidates("", ["Convolutional networks recognise handwritten digits very accurately. Et al., 2018a; it is."])
-    assert got[0].startswith("Convolutional networks") and all(len(c) >= 24 for c in got)
+def test_candidates_are_informative(spark):
+    text = "Convolutional networks recognise handwritten digits very accurately. Et al., 2018a; it is. " + " ".join(f"longerword{'abcdefgh'[k % 8]}{'xyz'[k % 3]}" for k in range(40)) + "."
+    rows = spark.createDataFrame([(1, "A claim about convolutional networks and digits.", [text, None, ""]), (2, None, None)], "k int, claim string, passages array<string>")
+    found = highlights.candidate_rows(rows, ["k"]).orderBy("candidate_no").collect()
+    got = [r["text"] for r in found]
+    assert {r["k"] for r in found} == {1} and len(set(got)) == len(got) <= 40 and all(len(c) >= 24 for c in got)
+    words = text.split(". ")[2].rstrip(".").split()
+    assert got[0] == " ".join(words) and got[1].startswith("Convolutional networks") and got[-1].startswith("A claim about")
+    assert [" ".join(words[k : k + 14]) for k in range(0, 27, 7)] == [c for c in got if len(c.split()) == 14]
 
 
 # --- report, sources, streams ------------------------------------------------------------------------
@@ -254,7 +275,7 @@ def test_override_stream_keeps_state(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         stream = events.overrides(events.read_events(spark, str(tmp_path / "in"), schema, 1))
-        rows = events.collect_into(stream, "overrides", "update", str(tmp_path / "cp")).collect()
+        rows = events.collect_into(stream, str(tmp_path / "out"), "update").collect()
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     last = {}
@@ -285,3 +306,50 @@ def test_an_empty_manuscript_is_never_clear(spark):
     a = audit.Audit(texts, replies, sources)
     assert {r["run_id"]: r["level"] for r in a.risk.collect()} == {"r": "review", "s": "review"}
     a.close()
+
+
+def test_the_audit_uses_all_that_is_known(spark):
+    text = "\n".join(
+        [
+            "Convolutional networks recognise handwritten digits (Graves, 2013). Pairs do it well too (Graves and Wayne, 2013).",
+            "A page said so (Kay, 2015). Another work agrees with it (Lee, 2016). It is late (Roe, 2017). It is closed (Poe, 2018).",
+            "References",
+            "Graves, A. (2013). A study of handwritten digits in networks. Journal of Things, 3, 1-9.",
+            "Graves, A. and Wayne, G. (2013). Another study of pairs of networks. Journal of Things, 4, 1-9.",
+            "Kay, B. (2015). A web page on things that was there. http://a.org/gone.",
+            "Lee, C. (2016). A printed work with a dead number. doi:10.1234/dead.",
+            "Roe, D. (2017). A work that took too long to find. Journal of Things, 5, 1-9.",
+            "Poe, E. (2018). A work behind a wall of some kind. Journal of Things, 6, 1-9.",
+        ]
+    )
+    keys = ["graves2013/1", "graves2013/2-wayne", "kay2015", "lee2016", "roe2017", "poe2018"]
+    texts = spark.createDataFrame([("r", text)], "run_id string, text string")
+    replies = [("r", k, "Crossref", 404 if k in ("kay2015", "lee2016") else 200, k not in ("kay2015", "lee2016")) for k in keys]
+    body = "Convolutional networks recognise handwritten digits with great accuracy in many experiments of ours. " * 9
+    sources = [("r", k, "", "", body if k.startswith("graves") else "", "html", False, "HTTP 404" if k == "kay2015" else "", k == "poe2018", 100 if k == "lee2016" else None) for k in keys]
+    found = [("r", "lee2016", 0.9, "A printed work with a dead number", "Lee, C.", "2016", "J", "10.1234/alive", "", True)]
+    records = [("r", "graves2013/1", [("Crossref", 0.95, "2005", ["Smith"], False)])]
+    answers = [("r", "graves2013/1", 0, '{"verdict": "unrelated"}', '{"verdict": "related"}'), ("r", "graves2013/2-wayne", 0, '{"verdict": "supported"}', None)]
+    a = audit.Audit(
+        texts,
+        spark.createDataFrame(replies, "run_id string, key string, index string, status int, found boolean"),
+        spark.createDataFrame(sources, "run_id string, key string, title string, abstract string, text string, kind string, retracted boolean, dead string, blocked boolean, handle_code int"),
+        found=spark.createDataFrame(found, "run_id string, key string, search_agreement double, title string, authors string, year string, venue string, doi string, abstract string, retracted boolean"),
+        records=spark.createDataFrame(records, "run_id string, key string, records array<struct<index:string,title_agreement:double,year:string,surnames:array<string>,book:boolean>>"),
+        model_replies=spark.createDataFrame(answers, "run_id string, key string, claim_no int, reply string, second string"),
+        unfinished=spark.createDataFrame([("r", "roe2017", "lookup")], "run_id string, key string, stage string"),
+    )
+    got = {r["key"]: r for r in a.entries.collect()}
+    assert set(got) == set(keys)
+    assert (got["graves2013/1"]["verdict"], got["graves2013/1"]["engine"]) == ("unrelated", "openai")  # no abstract, so no second look
+    assert got["graves2013/2-wayne"]["verdict"] == "supported"
+    assert (got["kay2015"]["existence"], got["kay2015"]["verdict"]) == ("not_found", "not_found")
+    assert (got["lee2016"]["existence"], got["lee2016"]["doi"], got["lee2016"]["identifier_wrong"], got["lee2016"]["retracted"]) == ("confirmed", "10.1234/alive", "10.1234/dead", True)
+    assert (got["roe2017"]["verdict"], got["roe2017"]["timed_out"]) == ("unverified", True) and "lookup" in got["roe2017"]["note"]
+    assert got["poe2018"]["verdict"] == "blocked"
+    flagged = {(r["key"], r["kind"]) for r in a.flags.collect()}
+    assert {("graves2013/1", "record-mismatch"), ("kay2015", "reference-not-found"), ("lee2016", "identifier-mismatch"), ("lee2016", "retracted-source")} <= flagged
+    given = a.with_document("r", "roe2017", body)
+    assert given.entries.where("key = 'roe2017'").first()["existence"] == "confirmed"
+    given.close()
+    a.close()

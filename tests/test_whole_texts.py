@@ -28,7 +28,7 @@ def test_title_search_looks_at_every_sentence(spark, tmp_path):
     docs += [(100 + k, "\n".join([words(rng, 60), *(words(rng, 10) for _ in range(25)), f"{titles[k]} and {words(rng, 2)}. {words(rng, 9)}", "", words(rng, 3)])) for k in range(12)]
     docs += [(7000, None), (7001, ""), (7002, "the of")]
     sf = write(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=(items, "item_id long, text string"))
-    got = sorted(tuple(r) for r in existence_queries.title_search_whole(spark, sf).collect())
+    got = sorted(tuple(r) for r in existence_queries.title_search(spark, sf).collect())
 
     def tokens(s):
         return set(re.findall("[a-z0-9]{3,}", s.lower())) - STOP
@@ -89,9 +89,9 @@ def test_accents_and_indexes_take_whole_texts_of_all_rows(spark, tmp_path):
     def composed(s):  # every a has its accent in front; another stands before the one of ´a
         return re.sub("´a", "á", s.replace("a", "´a"))
 
-    assert {tuple(r) for r in text_queries.fold_accents_whole(spark, sf).collect()} == {(k, plain(s)) for k, s, _ in docs}
+    assert {tuple(r) for r in text_queries.fold_accents(spark, sf).collect()} == {(k, plain(s)) for k, s, _ in docs}
     assert {tuple(r) for r in text_queries.compose_accents(spark, sf).collect()} == {(k, composed(s or "")) for k, s, _ in docs}
-    assert {tuple(r) for r in existence_queries.inverted_abstract_whole(spark, sf).collect()} == {(k, s) for k, s, _ in docs}
+    assert {tuple(r) for r in existence_queries.inverted_abstract(spark, sf).collect()} == {(k, s) for k, s, _ in docs}
 
 
 def test_awkward_rows_are_not_left_out(spark, tmp_path):
@@ -106,7 +106,7 @@ def test_awkward_rows_are_not_left_out(spark, tmp_path):
         # an end of four digits is no range: the low end alone counts
         numbers = range(low, low + span + 1) if 0 < span <= 60 and low + span < 1000 else [low]
         want.add((order, line, low, ",".join(map(str, [line, *numbers]))))
-    assert {tuple(r) for r in text_queries.range_expand_whole(spark, sf).collect()} == want
+    assert {tuple(r) for r in text_queries.range_expand(spark, sf).collect()} == want
 
     hits = {}
     for order, line, part, _ in items:
@@ -114,15 +114,15 @@ def test_awkward_rows_are_not_left_out(spark, tmp_path):
         style = {0: "alpha", 1: "author-year"}.get(part % 4, "numeric")
         votes[style] = votes.get(style, 0) + line % 3 + 1
     best = {r: max(v.items(), key=lambda x: (x[1], ["alpha", "author-year", "numeric"].index(x[0]))) for r, v in hits.items()}
-    voted = {tuple(r) for r in text_queries.style_vote_whole(spark, sf).collect()}
+    voted = {tuple(r) for r in text_queries.style_vote(spark, sf).collect()}
     assert voted == {(r, *v) for r, v in best.items() if v[1] >= 5} and any(int(r) >= 400 for r, *_ in voted)
 
-    lists = dict(tuple(r) for r in text_queries.list_markers_whole(spark, sf).collect())
+    lists = dict(tuple(r) for r in text_queries.list_markers(spark, sf).collect())
     marker = re.compile("(?m)^([ \\t]*\\d{1,3}[.)])[\u200b\u200c\u200d\u2060\ufeff\u00ad]+(?=[^\\d\\s])")  # the reference's rule
     assert lists == {k: marker.sub(r"\1 ", "1.\u200b" + s.replace("\n", "\n22)\ufeff\u200b")) for k, s in docs}
     assert lists[3] == "1. one\n22) two" and lists[1] == "1.\u200b7 begins with a digit\n22) plain"
 
     tokens = {}
-    for r in sorted(map(tuple, text_queries.page_tokens_whole(spark, sf).collect())):
+    for r in sorted(map(tuple, text_queries.page_tokens(spark, sf).collect())):
         tokens.setdefault(r[:2], []).append(r[3])
     assert tokens[(10, 1)] == ["a", "wellknown", "and", "coopted", "wordend", "trailing"] and len(tokens) == 4
