@@ -424,7 +424,7 @@ def _printed_sql(template: str, quoted: bool = True) -> str:
 
 
 def _printed_rows(part: str) -> str:
-    numbered = f"SELECT *, CAST(floor((p_partkey - 1) / 8) AS BIGINT) AS r, (p_partkey - 1) % 8 + 1 AS n FROM {part}"
+    numbered = f"SELECT *, CAST(floor(p_partkey / 8) AS BIGINT) AS r, p_partkey % 8 + 1 AS n FROM {part}"
     lines = " ".join(f"WHEN {k} THEN {_printed_sql(x[0])}" for k, x in enumerate(_PRINTED))
     keys = " ".join(f"WHEN {k} THEN {_printed_sql(x[1], quoted=False)}" for k, x in enumerate(_PRINTED))
     names = " ".join(f"WHEN {k} THEN {_printed_sql(x[2])}" for k, x in enumerate(_PRINTED))
@@ -432,7 +432,7 @@ def _printed_rows(part: str) -> str:
     return f"SELECT CAST(r AS STRING) AS run_id, n, CASE r % 6 {lines} END AS line, CASE r % 6 {keys} END AS key, CASE r % 6 {names} END AS authors, 'A study of ' || p_name || ' in plants' AS title, {year} AS year FROM ({numbered})"
 
 
-@R.add(f"SELECT run_id, CAST(n - 1 AS INT) AS entry_no, key, authors, title, year FROM ({_printed_rows('part').replace('AS STRING', 'AS VARCHAR').replace('FLOOR((p_partkey - 1) / 8)', '(p_partkey - 1) // 8')})")
+@R.add(f"SELECT run_id, CAST(n - 1 AS INT) AS entry_no, key, authors, title, year FROM ({_printed_rows('part').replace('AS STRING', 'AS VARCHAR')})")
 def bibliography_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists in six printed styles, with and without numbers and labels, split and read."""
     rows = spark.sql(_printed_rows("{part}"), part=table(spark, sf_dir, "part"))
