@@ -7,16 +7,17 @@ hashed ``GRAM``-byte string in it, so equal windows have equal anchors; consecut
    a few packed bytes each; a bucket answers each batch with the anchors that other batches hold too.
 2. For anchors held by several documents, a batch sends the bytes that the anchor's windows cover (its
    context) to the bucket, equal contexts once with the places of all their occurrences.
-3. In a bucket, an anchor with one context needs no comparison: all but its first document repeat it.  The
-   windows of the others are sorted: they form suffix arrays (suffixes cut to ``LENGTH`` bytes) in a family
-   of levels.  Contexts come in batches by first document; a batch's suffix array is merge-scanned against the
-   existing levels for the windows they hold, what is new becomes a level, and levels of about equal size
-   merge, so sizes grow geometrically.
+3. In a bucket, the windows of all distinct contexts go through a family of suffix arrays (suffixes cut to
+   ``LENGTH`` bytes).  Contexts come in batches by first document.  A batch gets a suffix array, which is merged
+   with each level's in one pass: where neighbours agree in ``LENGTH`` bytes, the batch repeats what the level
+   holds, and takes over the level's first document.  What is new becomes a level, and levels of about equal size
+   merge, so sizes grow geometrically and a suffix is moved a logarithmic number of times.
 4. Spans go back to the batches, which cut them out of the texts.
 
 Matches never cross documents, overlaps count, and windows are judged on the input.  Nulls in the text count
-as empty; rows with a null doc_id are kept whole and take no part; rows sharing a doc_id are judged each by
-their own text and do not count as smaller than each other.  A text of any length goes through in pieces.
+as empty; rows with a null doc_id are kept whole, take no part and are not shuffled; rows sharing a doc_id are
+judged each by their own text and do not count as smaller than each other.  A text of any length goes through in
+pieces.  Batches and buckets grow in number with the input, not in size, and each is a partition of its own.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ from citelake.llm.common import empty_if_null, parts_for, text_bytes
 LENGTH = 50
 GRAM = 20
 SPAN = LENGTH - GRAM + 1  # places of a window's anchor
-HALF = (LENGTH - GRAM) // 2
 BATCH_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 #: windows of a text that go through at once
 PIECE = 1 << 19
@@ -296,35 +296,55 @@ _NO_CONTEXTS = _CONTEXTS.empty_table()
 # --- 3: the family of suffix arrays -----------------------------------------------------------------
 
 
+def _suffix_array(windows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct windows in order, the first document of each, and each given window's place among them."""
+    order = np.argsort(windows, kind="stable")
+    ranked = windows[order]
+    fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
+    edge = np.flatnonzero(fresh)
+    place = np.empty(len(windows), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return ranked[edge], np.minimum.reduceat(docs[order], edge) if len(edge) else docs[:0], place
+
+
 class LevelFamily:
-    """Levels of sorted distinct windows with their first documents, of geometrically growing size."""
+    """Levels of suffix arrays of distinct windows with their first documents, of geometrically growing size."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """First document of each window among this batch and all before it; then the batch joins the family."""
-        order = np.argsort(windows, kind="stable")
-        ranked = windows[order]
-        edge = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        array, first = ranked[edge], np.minimum.reduceat(docs[order], edge)
+    def _scan(self, array: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Which windows of a suffix array no level holds; ``first`` takes over the levels' first documents."""
         fresh = np.ones(len(array), bool)
-        for known, known_docs in self.levels:  # merge-scan
-            at = np.searchsorted(known, array)
-            at[at == len(known)] = 0
-            held = known[at] == array
-            first[held] = np.minimum(first[held], known_docs[at[held]])
-            fresh &= ~held
+        for known, known_docs in self.levels:
+            both = np.concatenate([known, array])
+            order = np.argsort(both, kind="stable")  # two runs in order: merged in one pass
+            merged = both[order]
+            # equal windows are neighbours, the level's before the batch's
+            left = np.flatnonzero(merged[1:] == merged[:-1])
+            held = order[left + 1] - len(known)
+            first[held] = np.minimum(first[held], known_docs[order[left]])
+            fresh[held] = False
+        return fresh
+
+    def scan(self, windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """First document of each window among this batch and the levels, which stay as they are."""
+        array, first, place = _suffix_array(windows, docs)
+        self._scan(array, first)
+        return first[place]
+
+    def add(self, windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """As ``scan``; then what is new in the batch becomes a level, and levels of about equal size merge."""
+        array, first, place = _suffix_array(windows, docs)
+        fresh = self._scan(array, first)
         if fresh.any():
             self.levels.append((array[fresh], first[fresh]))
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             (a, x), (b, y) = self.levels.pop(), self.levels.pop()
-            both, docs_of = np.concatenate([a, b]), np.concatenate([x, y])
-            merged = np.argsort(both, kind="stable")
-            self.levels.append((both[merged], docs_of[merged]))
-        out = np.empty(len(windows), np.int64)
-        out[order] = first[np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]))]
-        return out
+            both, docs_of = np.concatenate([b, a]), np.concatenate([y, x])
+            order = np.argsort(both, kind="stable")
+            self.levels.append((both[order], docs_of[order]))
+        return first[place]
 
 
 def _judge(rows: pa.Table) -> pa.Table:
@@ -357,29 +377,16 @@ def _judge(rows: pa.Table) -> pa.Table:
     first = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(first, mine, doc)
 
-    # contexts of anchors with several contexts, if they share more than half of what a window needs
-    anchor = starts + offsets
-    _, group, held = np.unique(keys, return_inverse=True, return_counts=True)
-    able = held[group] > 1
-    near = np.zeros(len(one), bool)
-    for side, begin in ((offsets >= HALF, anchor - HALF), (sizes - offsets >= GRAM + HALF, anchor)):
-        pick = np.flatnonzero(able & side)
-        if len(pick):
-            part = _context_hashes(data, begin[pick], np.full(len(pick), GRAM + HALF))
-            _, alike, times = np.unique(part, return_inverse=True, return_counts=True)
-            near[pick[times[alike] > 1]] = True
-
-    # suffix arrays of their windows, by first document
+    # their windows, batch by batch in order of first document
     n_windows = sizes - LENGTH + 1
-    close = np.flatnonzero(near)
-    close = close[np.argsort(first[close], kind="stable")]
-    family, window_first = LevelFamily(), np.zeros(int(n_windows[close].sum()), np.int64)
-    window_at = np.full(len(one), -1)
-    window_at[close] = np.cumsum(n_windows[close]) - n_windows[close]
+    by_first = np.argsort(first, kind="stable")
+    family, window_first = LevelFamily(), np.zeros(int(n_windows.sum()), np.int64)
+    window_at = np.zeros(len(one), np.int64)
+    window_at[by_first] = np.cumsum(n_windows[by_first]) - n_windows[by_first]
     done = 0
-    while done < len(close):
-        upto = done + max(1, int(np.searchsorted(np.cumsum(n_windows[close[done : done + SORTED]]), SORTED, side="right")))
-        part = close[done:upto]
+    while done < len(by_first):
+        upto = done + max(1, int(np.searchsorted(np.cumsum(n_windows[by_first[done : done + SORTED]]), SORTED, side="right")))
+        part = by_first[done:upto]
         places = _ranges(starts[part], n_windows[part])
         windows = data[places[:, None] + np.arange(LENGTH)].view(f"S{LENGTH}").ravel()
         at = window_at[part[0]]
@@ -387,12 +394,10 @@ def _judge(rows: pa.Table) -> pa.Table:
         done = upto
     del family
 
-    # spans: whole contexts where nothing was compared, else runs of repeated windows
-    simple = np.flatnonzero(~near[mine] & (doc > first[mine]))
-    spans = [(simple, low[simple], low[simple] + sizes[mine[simple]])]
-    compared = np.flatnonzero(near[mine])
-    for at in range(0, len(compared), SORTED // 16):
-        part = compared[at : at + SORTED // 16]
+    # spans: runs of windows that an earlier document holds
+    spans = []
+    for at in range(0, len(mine), SORTED // 16):
+        part = np.arange(at, min(at + SORTED // 16, len(mine)))
         n = n_windows[mine[part]]
         who = np.repeat(np.arange(len(part)), n)
         repeated = window_first[_ranges(window_at[mine[part]], n)] < doc[part][who]
@@ -454,20 +459,27 @@ def dedup_substrings(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     """
     total = text_bytes(docs)
     batches, buckets = parts_for(total, BATCH_BYTES, 12), parts_for(total, BUCKET_BYTES, 12)
-    own = docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), "doc_id", empty_if_null().cast("binary").alias("text")
-    )
-    dealt = own.groupBy("batch")
-    keys = dealt.applyInArrow(_send_keys(buckets), "bucket int, batch int, keys binary")
-    answers = keys.groupBy("bucket").applyInArrow(_answer_keys, "batch int, bucket int, keys binary")
+    text = empty_if_null().cast("binary").alias("text")
+    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int").alias("batch")
+    own = docs.where("doc_id is not null").select(number, "doc_id", text)
+    dealt = own.repartitionById(batches, "batch").groupBy("batch")
+    keys = dealt.applyInArrow(_send_keys(buckets), "bucket int, batch int, keys binary").repartitionById(buckets, "bucket")
+    answers = keys.groupBy("bucket").applyInArrow(_answer_keys, "batch int, bucket int, keys binary").repartitionById(batches, "batch")
     contexts = dealt.cogroup(answers.groupBy("batch")).applyInArrow(
         _send_contexts(buckets), "bucket int, batch int, " + ", ".join(f"{n} binary" for n in _BLOBS)
     )
-    spans = contexts.groupBy("bucket").applyInArrow(_judge, "batch int, spans binary")
+    spans = contexts.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_judge, "batch int, spans binary")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def cut(rows: pa.Table, found: pa.Table) -> pa.Table:
         done = _cut(rows, found) if rows.num_rows else _cut(rows.slice(0, 0), found.slice(0, 0))
         return done if keep_bytes else done.drop_columns(["kept"])
 
-    return dealt.cogroup(spans.groupBy("batch")).applyInArrow(cut, out + (", kept binary" if keep_bytes else ""))
+    judged = dealt.cogroup(spans.repartitionById(batches, "batch").groupBy("batch")).applyInArrow(cut, out + (", kept binary" if keep_bytes else ""))
+    # rows without a doc_id take no part: they are whole, wherever they are
+    none = F.lit(0).cast("long")
+    whole = docs.where("doc_id is null").select("doc_id", text).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),
+        F.sha2("text", 256).alias("kept_sha256"), *([F.col("text").alias("kept")] if keep_bytes else []),
+    )
+    return judged.unionByName(whole)

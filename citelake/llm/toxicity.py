@@ -7,8 +7,9 @@ of doc_id), so a later model sees earlier ones as they will be on new documents;
 from models fitted on all training rows.
 
 Training uses at most ``sample`` labelled rows with non-null text and labels (those with the smallest hash
-of doc_id), a documented bound; their words and word beginnings come back to the driver as numbers of the
-``MOST_WORDS`` that most of them hold, in at least ``LEAST_DOCS``.  Where a category has only one class, its probability is constant.
+of doc_id), a documented bound; of rows that share a doc_id each text counts.  All words and word beginnings that
+``LEAST_DOCS`` of them hold are features, and come back to the driver as numbers, so what it holds is bounded by the
+sample.  Where a category has only one class, its probability is constant; without labels it is 0.
 Prediction reads whole texts; null and empty texts get probabilities 0; every row is kept.
 """
 
@@ -29,7 +30,6 @@ from citelake.llm.common import map_arrow, quoted, schema_of
 SAMPLE = 4000
 FOLDS = 5
 LEAST_DOCS = 5
-MOST_WORDS = 60_000
 #: Lengths of the word beginnings that count as features beside the words.
 BEGINNINGS = (4, 5, 6, 7)
 MEMO_WORDS = 100_000
@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
 
     counted = map_arrow(texts, count, "doc_id long, mark long, words array<string>, n array<int>, form array<double>").persist()
     common = counted.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= LEAST_DOCS)
-    top = common.orderBy(F.desc("count"), "word").limit(MOST_WORDS).collect()
+    top = common.orderBy(F.desc("count"), "word").collect()
     chain.words = {r["word"]: k for k, r in enumerate(top)}
     # only listed words come to the driver
     sent = spark.sparkContext.broadcast(chain.words)
@@ -270,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
 
 def score(docs: DataFrame, chain: ToxicityChain, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs``, then p_<category> double for each category."""
-    sent = docs.sparkSession.sparkContext.broadcast(chain)  # MOST_WORDS words at most
+    sent = docs.sparkSession.sparkContext.broadcast(chain)  # the words of the sample
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = sent.value.probabilities(batch.column("text").to_pylist())

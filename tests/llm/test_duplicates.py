@@ -195,6 +195,18 @@ def test_op6_periodic_and_binary_texts(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted((i, *x) for i, each in want.items() for x in each)
 
 
+def test_op6_empty_table_clashing_columns_and_long_texts(spark, tmp_path):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(9_000_000))
+    rows = [(1, "x" * 80, 1, "k"), (None, "x" * 80, 2, "k"), (None, None, 3, "k"), (2, "x" * 80, 4, "k"), (2, "x" * 60, 5, "k"), (3, long, 6, "k"), (4, "y" + long[4_000_000:4_000_200], 7, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, batch int, bucket string").withColumn("n_removed", F.lit("z"))
+    got = suffix_dedup.dedup_substrings(docs).collect()
+    want = sorted([(1, 80, 0, 0), (None, 80, 0, 0), (None, 0, 0, 0), (2, 80, 80, 1), (2, 60, 60, 1), (3, 9_000_000, 0, 0), (4, 201, 200, 1)], key=str)
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got), key=str) == want
+    assert {bytes(r["kept"]) for r in got if r["doc_id"] == 4} == {b"y"}
+    assert suffix_dedup.dedup_substrings(docs.limit(0)).count() == 0
+
+
 def test_level_family_keeps_first_documents_and_geometric_sizes():
     rng, family, first = random.Random(0), suffix_dedup.LevelFamily(), {}
     for doc in range(60):
@@ -203,6 +215,11 @@ def test_level_family_keeps_first_documents_and_geometric_sizes():
             first.setdefault(w, doc)
         got = family.add(np.array(words, "S50"), np.full(20, doc))
         assert got.tolist() == [first[w] for w in words]
+    # a new batch only is scanned: known windows keep their first documents, and the levels stay as they are
+    known, before = list(first), [a for a, _ in family.levels]
+    new = [b"n%05d" % k for k in range(30)]
+    got = family.scan(np.array(known + new, "S50"), np.full(len(known) + 30, 99))
+    assert got.tolist() == [first[w] for w in known] + [99] * 30 and all(a is b for a, (b, _) in zip(before, family.levels, strict=True))
     sizes = [len(a) for a, _ in family.levels]
     assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False)) and sum(sizes) == len(first)
 
