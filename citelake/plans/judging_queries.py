@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citelake.audit import Audit
 from citelake.functions.text import STOP_WORDS, SUFFIXES, tokens
-from citelake.functions.partitions import spread
+from citelake.functions.partitions import spread, stage
 from citelake.operators import judging
 from citelake.plans.inputs import Registry, derive, oracle, table
 
@@ -175,7 +175,10 @@ def best_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add()
 def audit_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole audit over manuscripts made of parts: texts in, risk out (checked end to end in the unit tests)."""
-    return audit_of_parts(spark, sf_dir).risk.select("run_id", "level", F.array_join("headlines", "|").alias("headlines"))
+    audit = audit_of_parts(spark, sf_dir)
+    out = stage(audit.risk.select("run_id", "level", F.array_join("headlines", "|").alias("headlines")))
+    audit.close()
+    return out
 
 
 def audit_of_parts(spark: SparkSession, sf_dir: str) -> Audit:
