@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,13 +90,15 @@ def _strings(shortest: int) -> re.Pattern:
 def random_spans(
     text: str, encoding, taken: list[tuple[int, int, int]], most: float = MOST_CHARS_PER_TOKEN, shortest: int = SHORTEST
 ) -> list[tuple[int, int, int]]:
-    """Spans of strings that the vocabulary is inefficient on, outside ``taken``."""
+    """Spans of strings that the vocabulary is inefficient on, outside ``taken`` (in order of start)."""
     out = []
+    starts = [x for x, _, _ in taken]
+    reach = [0, *accumulate((y for _, _, y in taken), max)]  # the furthest end of the first n spans
     for m in _strings(shortest).finditer(text):
         edges = [m.start(), *(x for u in UUID.finditer(text, m.start(), m.end()) for x in u.span()), m.end()]
         for a, b in zip(edges[::2], edges[1::2], strict=True):
             string = text[a:b]
-            if b - a < shortest or is_known(string, encoding) or any(x < b and a < y for x, _, y in taken):
+            if b - a < shortest or reach[bisect_left(starts, b)] > a or is_known(string, encoding):
                 continue
             if b - a <= most * len(encoding.encode_ordinary(string)):
                 out.append((a, 3, b))

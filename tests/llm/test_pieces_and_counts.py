@@ -148,6 +148,16 @@ def test_random_spans_never_overlap_base_spans():
     assert base and secret_scan.random_spans(t, encoding(), base) == []
 
 
+def test_overlaps_are_told_as_by_trying_every_base_span():
+    rows = [f"token={i:016x} Q{i * 7919**3 % 2**64:016X}x9KqvR4tY \"secret: {i:040x}\"\n" for i in range(200)]
+    t = "".join(rows)
+    base = secret_scan.base_spans(t)
+    alone = secret_scan.random_spans(t, encoding(), [])
+    plain = [x for x in alone if not any(s < x[2] and x[0] < e for s, _, e in base)]
+    got = secret_scan.random_spans(t, encoding(), base)
+    assert 0 < len(got) < len(alone) and got == plain
+
+
 def test_op2_query(spark, docs):
     by_id = {r["doc_id"]: r for r in queries.op2_secret_scan(spark, docs).collect()}
     r = by_id[5]
