@@ -6,13 +6,20 @@ under any global order of tokens share one; so
 
 1. an inverted index of the first tokens under one order (rare shingles first, then by hash) gives lists of
    classes; within a list, every class is paired with the list's first one only;
-2. pairs must also share first tokens under further orders (other hashes) - the filters are intersected;
+2. pairs whose signatures (a bit for each bucket of tokens that a set has, under a byte for each token) leave too
+   little in common are dropped; pairs must also share first tokens under further orders (other hashes) - the filters
+   are intersected;
 3. what is left is verified on the whole sets, and linked classes are joined to components;
 4. lists that still hold more than one component are tested completely across components, with the positions
    in the index's order bounding the overlap and the filters of the further orders before each verification:
    short lists (``SHORT_LIST``) by pairs (steps 2, 3), longer ones in blocks of about ``LIST_BLOCK`` classes and
-   ``LIST_TOKENS`` tokens, each a group that gives back only links that join components.  So no group of copies is
-   expanded into its pairs, and no component is lost.
+   ``LIST_TOKENS`` tokens, each a group that gives back only links that join components.  Blocks get signatures first,
+   then the whole sets of those classes that still have a partner.  So no group of copies is expanded into its pairs,
+   and no component is lost.
+
+Whole sets take twice the place of the texts, so they are made only for what the signatures leave, and in shares of
+bounded size (``SHARE_TOKENS``), one after the other.  How many pairs share a first token by chance grows faster than the
+input; such pairs end at the signatures.
 
 What a list needs to know of all its members (its first class, its size) is a minimum or a sum combined before the
 shuffle and an equi-join, which adaptive execution splits where a token is hot; no list goes through one task.
@@ -31,7 +38,8 @@ any length go through in blocks.  Shingles are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +55,8 @@ PERCENT = 80
 OFTEN = 3
 MOST_LEVELS = 200_000
 SHORT_LIST, LIST_BLOCK, LIST_TOKENS = 24, 2048, 1 << 20
+#: a share of whole sets to verify: tokens that travel with its pairs or blocks (as a part of all tokens, or so many), and its pairs
+SHARE_PART, SHARE_TOKENS, SHARE_PAIRS = 1 / 8, 32 << 20, 100_000
 #: shingles that report the common ones among them together
 REPORT_TOKENS = 4 << 20
 #: text bytes hashed at once
@@ -125,6 +135,64 @@ def set_digest(s: np.ndarray) -> int:
     return int((mix(s, 7).sum(dtype=_U) ^ mix(np.array([len(s)], _U), 8)[0]).astype(np.int64))
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Size of a set, then a bit for each of 2**k buckets (4 to 8 for a token) that one of its tokens is in."""
+    buckets = max(64, 1 << (4 * len(s) - 1).bit_length())
+    held = np.zeros(buckets, bool)
+    held[(s & _U(buckets - 1)).astype(np.int64)] = True
+    return np.array([len(s)], _U).tobytes() + np.packbits(held, bitorder="little").tobytes()
+
+
+def halved(bits: np.ndarray) -> np.ndarray:
+    """Signature bits (numbers of 64 bits, the last axis) over half as many buckets."""
+    half = bits.shape[-1] // 2
+    return bits[..., :half] | bits[..., half:]
+
+
+def may_reach(n: int, bits: np.ndarray, sizes: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets (sizes, rows of signature bits as many as ``bits``) can be similar to one: a bucket that only one
+    of two sets has holds a token that the other one lacks."""
+    common = np.minimum(n - np.bitwise_count(bits & ~others).sum(1, dtype=np.int64), sizes - np.bitwise_count(others & ~bits).sum(1, dtype=np.int64))
+    return 100 * common >= percent * (n + sizes - common)
+
+
+def signatures_allow(a: bytes, b: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(a, _U), np.frombuffer(b, _U)
+    n, m, x, y = int(x[0]), int(y[0]), x[1:], y[1:]
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    while len(x) != len(y):
+        x, y = (halved(x), y) if len(x) > len(y) else (x, halved(y))
+    return bool(may_reach(n, x, np.array([m]), y[None], percent)[0])
+
+
+def with_partner(signatures: list[bytes], roots: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets have one of another root that their signatures allow them to be similar to."""
+    rows = [np.frombuffer(x, _U) for x in signatures]
+    sizes, widths = np.array([int(r[0]) for r in rows]), np.array([len(r) - 1 for r in rows])
+    out = np.zeros(len(rows), bool)
+    for width in np.unique(widths).tolist():
+        # similar sets differ in size by less than a factor of 2 (if over 50 %), in buckets by one halving or a few
+        own = np.flatnonzero(widths == width)
+        wider = np.flatnonzero((widths > width) & (100 * sizes[own].max() >= percent * sizes))
+        both = np.concatenate([own, wider])
+        bits = np.zeros((len(both), width), _U)
+        for k, x in enumerate(both.tolist()):
+            b = rows[x][1:]
+            while len(b) > width:
+                b = halved(b)
+            bits[k] = b
+        n, root = sizes[both], roots[both]
+        for k in range(len(own)):
+            able = (root != root[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
+            able[:k] = False
+            able = np.flatnonzero(able)
+            able = able[may_reach(int(n[k]), bits[k], n[able], bits[able], percent)]
+            if len(able):
+                out[both[able]] = out[own[k]] = True
+    return out
+
+
 def first_tokens(n: int, percent: int = PERCENT) -> int:
     """How many first tokens of a set of ``n`` a similar set must meet."""
     return n + (-percent * n) // 100 + 1
@@ -161,7 +229,7 @@ def prefix(s: np.ndarray, order: np.ndarray, percent: int = PERCENT) -> np.ndarr
 
 
 def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Rows of two kinds: each document's set size and digest, and each batch's frequent shingles with counts."""
+    """Rows of two kinds: each document's set size, digest and signature, and each batch's frequent shingles with counts."""
 
     def report(pool: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         tokens = np.sort(np.concatenate(pool))
@@ -169,30 +237,33 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
         n = np.diff(edge)
         return tokens[edge[:-1]][n >= OFTEN].astype(np.int64), n[n >= OFTEN]
 
-    def rows(ids: pa.Array, marks: pa.Array, n: np.ndarray, digests: np.ndarray, is_shingle: bool) -> pa.RecordBatch:
+    def rows(ids: pa.Array, marks: pa.Array, n: np.ndarray, digests: np.ndarray, signatures: pa.Array, is_shingle: bool) -> pa.RecordBatch:
         kinds = pa.array(np.full(len(n), is_shingle))
         return pa.RecordBatch.from_arrays(
-            [ids, marks, pa.array(n, pa.int64()), pa.array(digests, pa.int64()), kinds], names=["doc_id", "text_mark", "n", "digest", "is_shingle"]
+            [ids, marks, pa.array(n, pa.int64()), pa.array(digests, pa.int64()), signatures, kinds],
+            names=["doc_id", "text_mark", "n", "digest", "signature", "is_shingle"],
         )
 
     def reported(pool: list[np.ndarray]) -> pa.RecordBatch:
         which, n = report(pool)
-        return rows(pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64()), n, which, True)
+        return rows(pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64()), n, which, pa.nulls(len(n), pa.binary()), True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         pool: list[np.ndarray] = []
         held = 0
         for batch in slices(batches):
-            sizes, digests = [], []
+            sizes, digests, signatures = [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), words):
                 sizes.append(len(s))
                 digests.append(set_digest(s))
+                signatures.append(signature(s) if len(s) else None)
                 if len(s) and digests[-1] not in seen:
                     seen.add(digests[-1])
                     pool.append(s)
                     held += len(s)
-            yield rows(batch.column("doc_id"), batch.column("text_mark"), np.array(sizes, np.int64), np.array(digests, np.int64), False)
+            marks = pa.array(signatures, pa.binary())
+            yield rows(batch.column("doc_id"), batch.column("text_mark"), np.array(sizes, np.int64), np.array(digests, np.int64), marks, False)
             if held >= REPORT_TOKENS:
                 yield reported(pool)
                 seen, pool, held = set(), [], 0
@@ -201,7 +272,7 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     small_batches(docs.sparkSession)
     own = docs.select("doc_id", empty_if_null()).withColumn("text_mark", F.xxhash64("text"))
-    return own.mapInArrow(run, "doc_id long, text_mark long, n long, digest long, is_shingle boolean")
+    return own.mapInArrow(run, "doc_id long, text_mark long, n long, digest long, signature binary, is_shingle boolean")
 
 
 def frequency_levels(reports: DataFrame) -> Levels:
@@ -237,8 +308,11 @@ def index_rows(docs: DataFrame, levels: Broadcast, words: int, percent: int) ->
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(cls, tokens) of the classes in ``wanted`` (cls, doc_id), the tokens as packed sorted numbers."""
-    rows = wanted.join(docs.select("doc_id", empty_if_null()).where("doc_id is not null"), "doc_id")
+    """(cls, tokens) of the classes in ``wanted`` (cls, doc_id), the tokens as packed sorted numbers.
+
+    ``wanted`` is broadcast: with the classes of at most ``SHARE_PAIRS`` pairs it is bounded, and texts aren't shuffled.
+    """
+    rows = F.broadcast(wanted).join(docs.select("doc_id", empty_if_null()).where("doc_id is not null"), "doc_id")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         # a doc_id may come in several rows with different texts; the class's own text gives the class's digest
@@ -277,31 +351,49 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes that pass the filters of the further orders and reach the similarity.
+def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes that pass the filters and reach the similarity, staged; ``first``: (cls, doc_id, signature).
 
-    The first filter travels with the few first tokens only; whole sets go to the pairs that it leaves.
+    Signatures meet all pairs; whole sets are made for the pairs that these leave, share by share.
     """
-    early, late = FURTHER_ORDERS[0], FURTHER_ORDERS[1:]
-
-    def shorten(batch: pa.RecordBatch) -> pa.RecordBatch:
-        few = [further_prefix(np.frombuffer(t, _U), early, percent).tobytes() for t in batch.column("tokens").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(few, pa.binary())], names=["cls", "tokens"])
 
-    def kept(test) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            both = zip(batch.column("tokens_u").to_pylist(), batch.column("tokens_v").to_pylist(), strict=True)
-            return batch.select(["u", "v"]).filter(pa.array([test(np.frombuffer(a, _U), np.frombuffer(b, _U)) for a, b in both]))
-
-        return run
-
-    def meet(rows: DataFrame, tokens: DataFrame, test) -> DataFrame:
-        u, v = (tokens.select(F.col("cls").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "uv")
-        return map_arrow(rows.join(u, "u").join(v, "v"), kept(test), "u long, v long")
-
-    short = map_arrow(sets, shorten, "cls long, tokens binary")
-    left = stage(meet(pairs, short, lambda a, b: _shared(a, b) > 0))  # goes with the session: a lost task reads it again
-    return meet(left, sets, lambda a, b: passes_filters(a, b, percent, late) and similar(a, b, percent))
+    def meet(rows: DataFrame, values: DataFrame, fn, schema: str) -> DataFrame:
+        u, v = (values.toDF(x, f"value_{x}") for x in "uv")
+        return map_arrow(rows.join(u, "u").join(v, "v").select("u", "v", "value_u", "value_v"), fn, schema)
+
+    def close(batch: pa.RecordBatch) -> pa.RecordBatch:
+        both = list(zip(batch.column("value_u").to_pylist(), batch.column("value_v").to_pylist(), strict=True))
+        n = pa.array([int(np.frombuffer(a, _U, 1)[0] + np.frombuffer(b, _U, 1)[0]) for a, b in both], pa.int64())
+        kept = pa.array([signatures_allow(a, b, percent) for a, b in both], pa.bool_())
+        return pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), n], names=["u", "v", "n"]).filter(kept)
+
+    def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
+        both = zip(batch.column("value_u").to_pylist(), batch.column("value_v").to_pylist(), strict=True)
+        both = ((np.frombuffer(a, _U), np.frombuffer(b, _U)) for a, b in both)
+        return batch.select(["u", "v"]).filter(pa.array([passes_filters(a, b, percent) and similar(a, b, percent) for a, b in both], pa.bool_()))
+
+    left = stage(meet(pairs, first.select("cls", "signature"), close, "u long, v long, n long"))
+    out = []
+    for share in shares(left, ["u"], first):
+        sets = stage(class_sets(docs, _members(share).join(first.select("cls", "doc_id"), "cls"), words))
+        out.append(stage(meet(share.select("u", "v"), sets, alike, "u long, v long")))
+        unstage(sets)
+    unstage(left)
+    return together(out)
+
+
+def shares(rows: DataFrame, by: list[str], first: DataFrame) -> list[DataFrame]:
+    """``rows`` in parts by a hash of ``by``, so that the tokens ``n`` that travel with a part are bounded, and its rows are few."""
+    all_tokens = first.agg(F.sum("n")).first()[0] or 0
+    size = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+    parts = max(1, -(-size["rows"] // SHARE_PAIRS), -(-size["tokens"] // max(SHARE_TOKENS, int(all_tokens * SHARE_PART))))
+    return [rows.where(F.pmod(F.xxhash64(*by), F.lit(parts)) == k) for k in range(parts)]
+
+
+def together(frames: list[DataFrame]) -> DataFrame:
+    out = reduce(DataFrame.unionByName, frames)
+    out.staged_paths = [p for f in frames for p in f.staged_paths]
+    return out
 
 
 def _able(n: Column, m: Column, n_pos: Column, m_pos: Column, percent: int) -> Column:
@@ -316,18 +408,18 @@ def _of_lists(rows: DataFrame, **values: Column) -> DataFrame:
 
 
 def linked_classes(docs: DataFrame, first: DataFrame, levels: Levels, words: int, percent: int) -> DataFrame:
-    """Links (u, v) between classes that connect all classes that similarity connects; ``first``: (cls, doc_id)."""
+    """Links (u, v) between classes that connect all classes that similarity connects; ``first``: (cls, doc_id, n, signature)."""
     spark = docs.sparkSession
     index = index_rows(docs, spark.sparkContext.broadcast(levels), words, percent)
-    heads = index.groupBy("token").agg(F.min(F.struct("cls", "n", "pos")).alias("head"), F.max("cls").alias("last"))
-    heads = stage(heads.where(F.col("head.cls") < F.col("last")).drop("last"))
+    # two numbers a token: what is shuffled here is the most that lies on disk at once
+    heads = index.groupBy("token").agg(F.min("cls").alias("head"), F.max("cls").alias("last"))
+    heads = stage(heads.where("head < last").drop("last"))
     lists = stage(index.join(heads, "token"))
 
-    able = _able(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos"), percent)
-    stars = lists.where((F.col("cls") != F.col("head.cls")) & able)
-    stars = stage(stars.select(F.col("head.cls").alias("u"), F.col("cls").alias("v")).distinct())
-    sets = stage(class_sets(docs, _members(stars).join(first, "cls"), words))
-    links = stage(verified(stars, sets, percent))
+    own = lists.where("cls = head").select("token", F.col("n").alias("head_n"), F.col("pos").alias("head_pos")).distinct()
+    stars = lists.where("cls != head").join(own, "token").where(_able(F.col("n"), F.col("head_n"), F.col("pos"), F.col("head_pos"), percent))
+    stars = stage(stars.select(F.col("head").alias("u"), F.col("cls").alias("v")).distinct())
+    links = verified(stars, docs, first, words, percent)
 
     # lists that the links so far leave in more than one component, without rows that no partner's size suits
     roots = components(links)
@@ -352,35 +444,45 @@ def linked_classes(docs: DataFrame, first: DataFrame, levels: Levels, words: int
     # of long lists with the same members one is enough, as it is tested completely
     long = several.where(F.col("size") > SHORT_LIST)
     long = long.join(long.groupBy("size", "members").agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
-    more = _members(cross).unionByName(long.select("cls")).distinct()
-    rest = stage(class_sets(docs, more.join(sets.select("cls"), "cls", "left_anti").join(first, "cls"), words))
-    every = sets.unionByName(rest)
     # one after the other, so that what one step shuffled is free before the next
-    by_pairs = stage(verified(cross, every, percent))
-    by_blocks = stage(block_links(long, every, percent))
-    unstage(stars, sets, several, cross, rest)
-    out = links.unionByName(by_pairs).unionByName(by_blocks)
-    out.staged_paths = [*links.staged_paths, *by_pairs.staged_paths, *by_blocks.staged_paths]
-    return out
+    by_pairs = verified(cross, docs, first, words, percent)
+    by_blocks = block_links(long, docs, first, words, percent)
+    unstage(stars, several, cross)
+    return together([links, by_pairs, by_blocks])
 
 
-def block_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between different roots of each list (token, cls, root, size, tokens_in), found in blocks.
+def block_links(lists: DataFrame, docs: DataFrame, first: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (u, v) between different roots of each list (token, cls, root, size, tokens_in), found in blocks, staged.
 
     A list of up to ``LIST_BLOCK`` classes and ``LIST_TOKENS`` tokens is one block; a larger one is cut into parts
     by hash, and every two parts (and each part by itself) make a block, so memory is bounded and every pair meets.
+    Signatures tell which classes of a block have a partner there; the whole sets of these follow, share by share.
     """
     parts = F.ceil(F.greatest(F.col("size") / LIST_BLOCK, F.col("tokens_in") / LIST_TOKENS)).cast("int")
     part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
     rows = lists.withColumn("parts", parts).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cls", "root")
+    block = ["token", "i", "j"]
+    rows = rows.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cls", "root", F.col("n").cast("long").alias("n"))
+
+    def able(block: pa.Table) -> pa.Table:
+        signatures, root = block.column("signature").to_pylist(), block.column("root").to_numpy()
+        return block.drop_columns(["signature"]).filter(pa.array(with_partner(signatures, root, percent), pa.bool_()))
 
     def run(block: pa.Table) -> pa.Table:
         cls, root = block.column("cls").to_numpy(), block.column("root").to_numpy()
         found = join_roots([np.frombuffer(t, _U) for t in block.column("tokens").to_pylist()], root, percent)
         return pa.table([pa.array([cls[x] for x, _ in found], pa.int64()), pa.array([cls[y] for _, y in found], pa.int64())], names=["u", "v"])
 
-    return rows.join(sets, "cls").groupBy("token", "i", "j").applyInArrow(run, "u long, v long")
+    signed = rows.join(first.select("cls", "signature"), "cls").select(*block, "cls", "root", "n", "signature")
+    left = stage(signed.groupBy(*block).applyInArrow(able, "token long, i int, j int, cls long, root long, n long"))
+    out = []
+    for share in shares(left, block, first):
+        wanted = share.select("cls").distinct().join(first.select("cls", "doc_id"), "cls")
+        sets = stage(class_sets(docs, wanted, words))
+        out.append(stage(share.drop("n").join(sets, "cls").groupBy(*block).applyInArrow(run, "u long, v long")))
+        unstage(sets)
+    unstage(left)
+    return together(out)
 
 
 class Overlaps:
@@ -454,10 +556,15 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     docs = docs.select("doc_id", "text")
     reports = stage(document_sets(docs, words))
     each = reports.where("not is_shingle").select("doc_id", "text_mark", F.col("n").alias("n_shingles"), F.col("digest").alias("cls"))
-    first = stage(each.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
-    links = linked_classes(docs, first, frequency_levels(reports), words, percent)
+    # documents with one digest have one set, and so one signature
+    first = reports.where("not is_shingle and n > 0 and doc_id is not null").groupBy(F.col("digest").alias("cls"))
+    first = stage(first.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature")))
+    levels = frequency_levels(reports)
+    each = stage(each)
+    unstage(reports)
+    links = linked_classes(docs, first, levels, words, percent)
     rooted = components(links)
-    joined = first.join(rooted.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    joined = first.select("cls", "doc_id").join(rooted.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = joined.groupBy("root").agg(F.min("doc_id").alias("least"))
     of_class = stage(joined.join(least, "root").select("cls", "root", "least"))
     unstage(first, links, rooted)

@@ -109,6 +109,28 @@ def test_op3_group_of_diverging_copies(spark, tmp_path):
     assert got == plain_components(plain_sets(rows))
 
 
+def test_op3_makes_whole_sets_only_where_signatures_leave_a_pair(spark, tmp_path, monkeypatch):
+    """Documents with one passage in common meet in lists, short and long ones; none comes near the similarity."""
+    made, whole = [], ngram_join.class_sets
+    monkeypatch.setattr(ngram_join, "class_sets", lambda docs, wanted, words: made.append(wanted.count()) or whole(docs, wanted, words))
+    rng = random.Random(6)
+    prose = lambda k: " ".join(f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(k))
+    passage, other = prose(40), prose(40)
+    rows = [(k, f"{prose(30)} {passage if k < 60 else other} {prose(30)}") for k in range(70)]
+    copies = [(100, rows[0][1] + " end"), (101, rows[65][1] + " end")]
+    got = {r["doc_id"]: r["component_id"] for r in queries.op3_ngram_join(spark, write(spark, tmp_path, rows + copies)).collect()}
+    assert got == {k: {100: 0, 101: 65}.get(k, k) for k in got} and len(got) == 72
+    assert 4 <= sum(made) <= 8
+
+
+def test_op3_in_many_shares(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHARE_PAIRS", 9)
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 3)
+    rows = corpus(5)
+    got = {r["doc_id"]: r["component_id"] for r in queries.op3_ngram_join(spark, write(spark, tmp_path, rows)).where("doc_id is not null").collect()}
+    assert got == plain_components(plain_sets(rows))
+
+
 def test_op3_empty_table(spark, tmp_path):
     assert queries.op3_ngram_join(spark, write(spark, tmp_path, [(1, "a")][:0] or [])).count() == 0
 
@@ -137,6 +159,22 @@ def test_filters_never_drop_a_similar_pair(a, b):
         assert ngram_join.passes_filters(x, y, 80)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 400), st.lists(st.tuples(st.integers(0, 60), st.integers(0, 120), st.integers(0, 2)), min_size=2, max_size=8))
+def test_signatures_never_drop_a_similar_pair(n, changes):
+    """Sets without some of ``n`` tokens and with some of their own, over different numbers of buckets."""
+    sets = [np.unique(ngram_join.mix(np.array([*range(min(cut, n - 1), n), *range(1000 * k, 1000 * k + more)], np.uint64))) for k, (cut, more, _) in enumerate(changes, 1)]
+    signed, roots = [ngram_join.signature(s) for s in sets], np.array([root for *_, root in changes])
+    partner = ngram_join.with_partner(signed, roots, 80)
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if ngram_join.similar(x, y, 80):
+                assert ngram_join.signatures_allow(signed[a], signed[b], 80)
+                assert roots[a] == roots[b] or partner[a] and partner[b]
+    allowed = [any(roots[a] != roots[b] and ngram_join.signatures_allow(signed[a], signed[b], 80) for b in range(len(sets))) for a in range(len(sets))]
+    assert partner.tolist() == allowed
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(180)]
