@@ -113,6 +113,7 @@ def test_op3_makes_whole_sets_only_where_signatures_leave_a_pair(spark, tmp_path
     """Documents with one passage in common meet in lists, short and long ones; none comes near the similarity."""
     made, whole = [], ngram_join.class_sets
     monkeypatch.setattr(ngram_join, "class_sets", lambda docs, wanted, words: made.append(wanted.count()) or whole(docs, wanted, words))
+    monkeypatch.setattr(ngram_join, "OFTEN", 1000)  # as with shingles that are common, but in no task
     rng = random.Random(6)
     prose = lambda k: " ".join(f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(k))
     passage, other = prose(40), prose(40)
