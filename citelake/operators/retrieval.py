@@ -34,6 +34,14 @@ MOST_BYTES, MOST_PAGES = 12 * 1024 * 1024, 40
 _PAGE = StructType().add("title", StringType()).add("text", StringType())
 
 
+def printed_title(html: Column) -> Column:
+    """What stands in the first plain title element, without markup's own escapes."""
+    title = F.regexp_extract(html, "<title>([^<]*)</title>", 1)
+    for escape, letter in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        title = F.replace(title, F.lit(escape), F.lit(letter))
+    return F.btrim(title, F.lit(" \n"))
+
+
 def any_of(text: Column, phrases: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for phrase in phrases:

@@ -24,3 +24,9 @@ def test_block_order_of_parts_over_100000(spark, tmp_path, turn):
     """Line 1 of part 100011 and line 2 of part 11 have one block number; a block that is no text takes no other's place."""
     rows = [(1, 1, 100011, 7), (1, 2, 11, 30), (1, 3, 13, 20), (2, 1, 100013, 39), (2, 2, 13, 3), (2, 3, 18, 10), (2, 4, 23, 12)]
     assert len(against_sql(spark, tmp_path, "block_order", "lineitem", rows[::turn], LINE)) == 5
+
+
+def test_html_title_reads_the_escapes_of_its_sql(spark, tmp_path):
+    titles = ["a &amp; b", "cut &amp", "say &quot;x&quot;", " \n odd \n", "&amp;lt;", ""]
+    rows = [(k, f"<html><head><title>{t}</title></head><body><p>x</p></body></html>") for k, t in enumerate(titles)] + [(9, "<p>none</p>")]
+    against_sql(spark, tmp_path, "html_title", "pages", rows, "page_id long, html string")
