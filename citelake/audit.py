@@ -11,12 +11,13 @@ staged in the shared folder, so that plans stay short; ``close`` deletes it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.functions import pandas_udf
@@ -55,6 +56,24 @@ def _with(frame: DataFrame, **usual: Column) -> DataFrame:
     return frame.withColumns({c: F.coalesce(c, v) if c in frame.columns else v for c, v in usual.items()})
 
 
+@contextmanager
+def no_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Joins that are planned meanwhile broadcast no side but those marked; the session's own setting comes back."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _merged(frame: DataFrame) -> DataFrame:
+    """``frame`` as a side of merge joins only: by the size of its files, many times less than that of its rows, it would
+    be broadcast, and the driver would have to hold all of it."""
+    return frame.hint("merge")
+
+
 @dataclass
 class Audit:
     manuscripts: DataFrame  # run_id, text
@@ -68,9 +87,15 @@ class Audit:
     claim_cap: int = 6
     held: list[DataFrame] = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        for name in ("manuscripts", "replies", "sources", "records", "found", "model_replies", "unfinished"):
+            frame = getattr(self, name)
+            setattr(self, name, frame if frame is None else _merged(frame))
+
     def _hold(self, frame: DataFrame) -> DataFrame:
-        self.held.append(stage(frame))
-        return self.held[-1]
+        with no_broadcasts(frame.sparkSession):
+            self.held.append(stage(frame))
+        return _merged(self.held[-1])
 
     def close(self) -> None:
         """Deletes what was staged; frames of this audit can't be read after that."""

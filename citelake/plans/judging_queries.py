@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelake.audit import Audit
+from citelake.audit import Audit, no_broadcasts
 from citelake.functions.text import STOP_WORDS, SUFFIXES, tokens
 from citelake.functions.partitions import spread, stage
 from citelake.operators import judging
@@ -176,7 +176,9 @@ def best_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole audit over manuscripts made of parts: texts in, risk out (checked end to end in the unit tests)."""
     audit = audit_of_parts(spark, sf_dir)
-    out = stage(audit.risk.select("run_id", "level", F.array_join("headlines", "|").alias("headlines")))
+    risk = audit.risk.select("run_id", "level", F.array_join("headlines", "|").alias("headlines"))
+    with no_broadcasts(spark):
+        out = stage(risk)
     audit.close()
     return out
 
